@@ -16,6 +16,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Cyrillic and Greek letters with the shape of a Latin letter, and the Latin letters.
 SHAPES = {
@@ -199,7 +200,7 @@ def slices(batch: pa.RecordBatch, column: int | str):
     n = batch.num_rows
     if not n:
         return
-    size = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < n:
         done = size[at - 1] if at else 0
@@ -211,4 +212,4 @@ def slices(batch: pa.RecordBatch, column: int | str):
 def fold_strings(texts: pa.Array) -> pa.Array:
     """The one form of an Arrow string array; null stays null."""
     out = to_strings(*fold(*code_points(texts)))
-    return pa.compute.if_else(texts.is_valid(), out, pa.scalar(None, pa.large_string())) if texts.null_count else out
+    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.large_string())) if texts.null_count else out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import charfold
 from quillon.operators.pairs import grouped_pairs
+from quillon.session import materialize
 
 
 def _fold_batches(batches):
@@ -32,6 +33,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     seen = folded(df, key, text).select("key", F.struct("raw", F.unhex(F.md5(F.col("folded").cast("binary"))).alias("form")).alias("v"))
     rows = seen.groupBy("key").agg(F.min("v").alias("v")).select("key", "v.raw", "v.form")
+    rows = materialize(rows)  # hashes only; without this the texts would be folded once for each use
     several = rows.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     return grouped_pairs(rows.join(several, "form", "left_semi"), "form", "key", F.col("a.raw") != F.col("b.raw"))
 
