@@ -66,6 +66,13 @@ def shingles(w: Words, size: int) -> Words:
     return Words(out[at], offs)
 
 
+def rows(w: Words, which: np.ndarray) -> Words:
+    """The words of some rows only."""
+    n = np.diff(w.offs)[which]
+    offs = np.concatenate(([0], np.cumsum(n)))
+    return Words(w.hashes[np.repeat(w.offs[which] - offs[:-1], n) + np.arange(offs[-1])], offs)
+
+
 def distinct(w: Words) -> Words:
     """Each row's hashes sorted and without repeats."""
     row = np.repeat(np.arange(len(w.offs) - 1), np.diff(w.offs))
