@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -46,3 +47,12 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table of a few numbers that may be broadcast: about 30 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are few, else as it is (a shuffle join then). Give it a stored table."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
