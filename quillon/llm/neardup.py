@@ -17,7 +17,7 @@ from quillon.llm import charfold
 from quillon.llm.words import Words, distinct, mix, rows, shingles, words
 from quillon.operators.components import components
 from quillon.operators.pairs import grouped_pairs
-from quillon.session import materialize
+from quillon.session import broadcast_if_small, materialize
 
 HASHES, BAND, BANDS = 64, 3, 12
 #: Standard deviations above the expected distance that the error budget leaves.
@@ -263,7 +263,7 @@ class NearDuplicates:
         self.members = materialize(made.select("scope", "key", "id").distinct())
         sets = made.select("id", "hi", "lo", "bands").groupBy("id").agg(*(F.first(c).alias(c) for c in ("hi", "lo", "bands")))
         near = materialize(similar_sets(sets, error_budget(similarity)))
-        wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        wanted = broadcast_if_small(materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
         blobs = made.select("id", "blob").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("blob").alias("blob"))
         blobs = materialize(blobs)
         both = near.join(blobs.toDF("a", "blob_a"), "a").join(blobs.toDF("b", "blob_b"), "b").select("a", "b", "blob_a", "blob_b")
