@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the token pattern of the math-aware tokenizer (commands, scripts, words).
 TOKENS = r"\\[A-Za-z@]+\{[A-Za-z0-9]+\}|\\[A-Za-z@]+|[A-Za-z][_^](?:\{[A-Za-z0-9]+\}|[A-Za-z0-9])|\p{L}(?:(?:\p{L}|-)*\p{L})?"
@@ -21,18 +22,18 @@ ROUTES = {
 ROUTE_PREFIX = 200
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def name_key(s: pd.Series) -> pd.Series:
     """Case-folded, compatibility-decomposed, without marks, ASCII letters and digits only."""
     drop = re.compile("[^a-z0-9]+")
