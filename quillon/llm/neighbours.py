@@ -281,7 +281,8 @@ class NeighbourGraph:
         """(key, neighbour, sim): greedy graph search for new vectors.
 
         Enters the graph at the vectors of the query's hash buckets (at most ``beam`` of each), then goes to neighbours of
-        the best ``beam`` found until those stay the same. Queries of unusable vectors have no row.
+        the best ``beam`` found until those stay the same. Queries of unusable vectors have no row, repeated
+        ones count once.
         """
         dim, hasher = self.dim, self.hasher
 
@@ -297,7 +298,7 @@ class NeighbourGraph:
                 s = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) if b.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["key", "v", "sim"])
 
-        asked = queries.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL")
+        asked = queries.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL").groupBy("key").agg(F.min("v").alias("v"))
         asked = materialize(asked.mapInArrow(prepare, "key string, qq binary, codes array<long>"))
         bucketed = lambda d: d.select("*", F.explode("codes").alias("c")).withColumn("bucket", F.shiftright("c", 16))
         entry = bucketed(self.vectors).withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(f"n <= {beam}").select("bucket", F.col("id").alias("v"))
