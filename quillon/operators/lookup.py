@@ -28,13 +28,16 @@ def cascade(rows: DataFrame, steps: list[tuple[str, Column, Column]], query: str
 def by_name(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Lemma by name: exact key, then containment (three characters at least), then trigram similarity of at least 0.3.
 
-    ``index``: (id, key), ``queries``: (query, wanted), both normalised. An empty wanted name finds nothing. The queries
-    are a stated set that every row of the index is held against.
+    ``index``: (id, key), ``queries``: (query, wanted), both normalised and unique. An empty wanted name finds nothing.
+    Whatever one of the three steps can find shares a trigram with the query, so both sides meet by trigrams, and the
+    counts of shared ones give the similarity; no pair without a common trigram is formed.
     """
-    grams = index.withColumn("_grams", text.trigrams(F.col("key")))
+    names = index.where("key <> ''").withColumn("_grams", text.trigrams(F.col("key")))
     asked = queries.where("wanted <> ''").withColumn("_asked", text.trigrams(F.col("wanted")))
-    pairs = grams.join(F.broadcast(asked) if asked.limit(10_001).count() <= 10_000 else asked, F.lit(True))
-    near = text.jaccard(F.col("_grams"), F.col("_asked"))
+    left = names.select("id", "key", F.size("_grams").alias("_n"), F.explode("_grams").alias("_g"))
+    right = asked.select("query", "wanted", F.size("_asked").alias("_m"), F.explode("_asked").alias("_g"))
+    pairs = left.join(right, "_g").groupBy("query", "id").agg(F.count(F.lit(1)).alias("_both"), *(F.first(c).alias(c) for c in ("key", "wanted", "_n", "_m")))
+    near = F.col("_both").cast("double") / (F.col("_n") + F.col("_m") - F.col("_both"))
     steps = [
         ("exact", F.col("key") == F.col("wanted"), F.lit(1.0)),
         ("contains", (F.length("wanted") >= 3) & F.col("key").contains(F.col("wanted")), F.lit(0.5)),

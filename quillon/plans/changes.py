@@ -38,8 +38,8 @@ def delete_keys(spark, sf):
 
 def merge_coalesce(spark, sf):
     c = table(spark, sf, "customer")
-    old = c.where("c_custkey % 3 <> 0").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("nation"))
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.upper("c_name")).alias("c_name"), (F.col("c_nationkey") + 1).cast("long").alias("nation"))
+    old = c.where("c_mktsegment <> 'HOUSEHOLD'").select("c_custkey", "c_name", F.col("c_nationkey").cast("long").alias("nation"))
+    new = c.where("c_mktsegment <> 'MACHINERY'").select("c_custkey", F.when(F.col("c_acctbal") > 4000, F.upper("c_name")).alias("c_name"), (F.col("c_nationkey") + 1).cast("long").alias("nation"))
     return merge.coalesce_merge(old, new, "c_custkey")
 
 
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "merge_replace_group": f"WITH {_I} SELECT * FROM n UNION ALL SELECT * FROM o WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n)",
     "merge_insert_absent": f"WITH {_I} SELECT * FROM o UNION ALL SELECT * FROM n WHERE (l_orderkey, line) NOT IN (SELECT (l_orderkey, line) FROM o)",
     "delete_keys": f"WITH {_I} SELECT * FROM o WHERE l_orderkey NOT IN (SELECT l_orderkey FROM n)",
-    "merge_coalesce": "WITH o AS (SELECT c_custkey, c_name, c_nationkey::BIGINT AS nation FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN upper(c_name) END AS c_name, c_nationkey::BIGINT + 1 AS nation FROM customer WHERE c_custkey % 2 = 0) SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.nation, o.nation) AS nation FROM o FULL JOIN n ON o.c_custkey = n.c_custkey",
+    "merge_coalesce": "WITH o AS (SELECT c_custkey, c_name, c_nationkey::BIGINT AS nation FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'), n AS (SELECT c_custkey, CASE WHEN c_acctbal > 4000 THEN upper(c_name) END AS c_name, c_nationkey::BIGINT + 1 AS nation FROM customer WHERE c_mktsegment <> 'MACHINERY') SELECT coalesce(n.c_custkey, o.c_custkey) AS c_custkey, coalesce(n.c_name, o.c_name) AS c_name, coalesce(n.nation, o.nation) AS nation FROM o FULL JOIN n ON o.c_custkey = n.c_custkey",
     "latest_wins": "SELECT paper_id, title, abstract, fetched_at FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY fetched_at DESC, length(abstract) DESC, title, abstract) AS n FROM paper_metadata) WHERE n = 1",
     "dedup_first_wins": f"SELECT sha256({_COLL.format('text')}) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "collision_gate": "SELECT chunk_id, count(DISTINCT body_text) AS bodies FROM chunks GROUP BY 1 HAVING count(DISTINCT body_text) > 1",

@@ -110,7 +110,7 @@ def licence_decisions(spark, sf):
 
 def inverted_index_roundtrip(spark, sf):
     """Words of a text inverted to their places and put together again."""
-    docs = table(spark, sf, "documents").where("text IS NOT NULL AND n_chars < 3000").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "word"))
+    docs = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("at", "word"))
     inverted = docs.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
     back = inverted.select("doc_id", "word", F.explode("places").alias("at")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     return back.select("doc_id", F.array_join(F.transform("w", lambda x: x.word), " ").alias("text"))
@@ -140,7 +140,7 @@ ORACLE_SQL = {
  SELECT paper_id, coalesce(json_array_length(a), 0)::BIGINT AS n_authors, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ', ') AS cats FROM p""",
     "ordered_json": """SELECT event_id, '{"event_type":"' || event_type || '","k":' || json_extract_string(props, '$.k') || '}' AS payload FROM events""",
     "licence_decisions": "SELECT DISTINCT chunk_id, CASE WHEN regexp_matches(lower(coalesce(license, '')), 'cc-by-4.0|cc-by-sa-4.0|cc0') THEN 'eligible' WHEN starts_with(lower(coalesce(license, '')), 'cc-') OR contains(lower(coalesce(license, '')), 'creativecommons') THEN 'open_not_listed' ELSE 'unknown' END AS status FROM chunks",
-    "inverted_index_roundtrip": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE text IS NOT NULL AND n_chars < 3000 AND regexp_matches(text, '\S')",
+    "inverted_index_roundtrip": r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), ' ') AS text FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\S')",
     "usable_metadata": "SELECT DISTINCT paper_id, nullif(title, '') AS title, array_to_string(from_json(authors, '[\"VARCHAR\"]'), ', ') AS authors, nullif(year, 0)::BIGINT AS year, nullif(abstract, '') AS abstract, nullif(primary_category, '') AS category FROM paper_metadata WHERE nullif(title, '') IS NOT NULL AND json_array_length(authors) > 0",
     "strip_comments": r"SELECT doc_id, length(regexp_replace(trim(regexp_replace(replace(text, '\leq', '%'), '\s+', ' ', 'g')), '(^|[^\\])((?:\\\\)*)%.*$', '\1\2'))::BIGINT AS kept FROM documents WHERE text IS NOT NULL",
 }

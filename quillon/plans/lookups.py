@@ -12,7 +12,7 @@ from quillon.plans._read import table
 
 
 def name_cascade(spark, sf):
-    """Every registered result looked up among the part names and every tenth part name among themselves."""
+    """A few names looked up among the part names: exact, contained, misspelt, none, empty."""
     index = table(spark, sf, "part").groupBy(F.col("p_name").alias("key")).agg(F.min("p_partkey").alias("id"))
     asked = spark.createDataFrame([(1, "small ring"), (2, "ring"), (3, "smal rng"), (4, "zz"), (5, ""), (6, "red widgets")], "query long, wanted string")
     return by_name(index, asked).select("query", "id", "mode", "score", F.col("rank").cast("long").alias("rank"))
@@ -21,7 +21,7 @@ def name_cascade(spark, sf):
 def results_by_name(spark, sf):
     """Theorem names found for each registered result: exact, contained or similar, the ten best."""
     names = table(spark, sf, "theorem_names").groupBy(F.col("dedup_key").alias("id")).agg(F.min(text.name_key("display_name")).alias("key"))
-    asked = table(spark, sf, "named_results").where("result_id % 10 = 0").select(F.col("result_id").alias("query"), text.name_key("canonical_name").alias("wanted"))
+    asked = table(spark, sf, "named_results").select(F.col("result_id").alias("query"), text.name_key("canonical_name").alias("wanted"))
     return by_name(names, asked).select("query", "id", "mode", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -89,9 +89,9 @@ def _edges(spark, sf):
 
 def _walk(direction, depth):
     def run(spark, sf):
-        """From every paper whose id ends in 1."""
+        """From every paper."""
         e = _edges(spark, sf)
-        start = e.select("src").union(e.select("dst")).distinct().where("src LIKE '%1'")
+        start = e.select("src").union(e.select("dst")).distinct()
         return graph.neighbours(e, start, direction, depth).select("start", "paper", F.col("hop").cast("long").alias("hop"), "source", F.round("confidence", 6).alias("confidence"), "edge_kind")
 
     return run
@@ -133,7 +133,7 @@ def _walk_sql(direction, depth):
     e = {"cites": "SELECT DISTINCT src AS a, dst AS b, source, confidence::DOUBLE AS confidence FROM cites WHERE source <> 'intra-paper'", "cited_by": "SELECT DISTINCT dst AS a, src AS b, source, confidence::DOUBLE AS confidence FROM cites WHERE source <> 'intra-paper'", "depends_on": "SELECT DISTINCT src AS a, dst AS b, source, confidence::DOUBLE AS confidence FROM cites"}[direction]
     kind = "'cited_by'" if direction == "cited_by" else "CASE WHEN source = 'intra-paper' THEN 'ref' ELSE 'cites' END"
     two = "UNION ALL SELECT DISTINCT h1.start, e.b AS paper, 2 AS hop, e.source, e.confidence FROM h1 JOIN e ON e.a = h1.paper" if depth > 1 else ""
-    return f"""WITH e AS ({e}), s AS (SELECT DISTINCT p AS start FROM (SELECT src AS p FROM cites UNION SELECT dst FROM cites) WHERE p LIKE '%1'),
+    return f"""WITH e AS ({e}), s AS (SELECT DISTINCT p AS start FROM (SELECT src AS p FROM cites UNION SELECT dst FROM cites)),
  h1 AS (SELECT start, b AS paper, 1 AS hop, source, confidence FROM s JOIN e ON e.a = s.start), h AS (SELECT * FROM h1 {two})
  SELECT start, paper, hop::BIGINT AS hop, source, round(confidence, 6) AS confidence, {kind} AS edge_kind FROM (SELECT *, row_number() OVER (PARTITION BY start, paper ORDER BY hop, source, confidence DESC NULLS LAST) AS n FROM h {"" if direction == "depends_on" else "WHERE paper <> start"}) WHERE n = 1"""
 
@@ -151,7 +151,7 @@ QUERIES = {f.__name__: f for f in (name_cascade, results_by_name, scan_fallback,
 QUERIES |= {"cites_depth1": _walk("cites", 1), "cites_depth2": _walk("cites", 2), "cited_by_depth2": _walk("cited_by", 2), "depends_on_depth2": _walk("depends_on", 2)}
 ORACLE_SQL = {
     "name_cascade": f"WITH idx AS (SELECT p_name AS key, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT * FROM (VALUES (1::BIGINT, 'small ring'), (2, 'ring'), (3, 'smal rng'), (4, 'zz'), (5, ''), (6, 'red widgets')) v(query, wanted)), {_JAC}",
-    "results_by_name": f"WITH idx AS (SELECT dedup_key AS id, min(regexp_replace(strip_accents(lower(display_name)), '[^a-z0-9]', '', 'g')) AS key FROM theorem_names GROUP BY 1), q AS (SELECT result_id AS query, regexp_replace(strip_accents(lower(canonical_name)), '[^a-z0-9]', '', 'g') AS wanted FROM named_results WHERE result_id % 10 = 0), {_JAC}",
+    "results_by_name": f"WITH idx AS (SELECT dedup_key AS id, min(regexp_replace(strip_accents(lower(display_name)), '[^a-z0-9]', '', 'g')) AS key FROM theorem_names GROUP BY 1), q AS (SELECT result_id AS query, regexp_replace(strip_accents(lower(canonical_name)), '[^a-z0-9]', '', 'g') AS wanted FROM named_results), {_JAC}",
     "scan_fallback": "SELECT DISTINCT dedup_key, display_name FROM theorem_names WHERE contains(lower(display_name), 'lemma') ORDER BY CASE WHEN lower(display_name) = 'lemma' THEN 0 ELSE 1 END, dedup_key, display_name LIMIT 50",
     "term_cascade": "WITH q AS (SELECT * FROM (VALUES (1::BIGINT, 'Brand#2'), (2, 'ECONOMY'), (3, 'eco'), (4, 'nothing')) v(query, t)), s AS (SELECT query, p_partkey AS id, CASE WHEN p_brand = t THEN 0 WHEN p_type = t THEN 1 WHEN starts_with(lower(p_type), lower(t)) THEN 2 END AS step FROM part, q), f AS (SELECT *, min(step) OVER (PARTITION BY query) AS least FROM s WHERE step IS NOT NULL) SELECT * FROM (SELECT query, id, ['symbol', 'raw', 'prefix'][step + 1] AS mode, row_number() OVER (PARTITION BY query ORDER BY id) AS rank FROM f WHERE step = least) WHERE rank <= 100",
     "term_page": "SELECT p_brand AS symbol, p_partkey AS id FROM part ORDER BY symbol, id LIMIT 100 OFFSET 100",

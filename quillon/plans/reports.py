@@ -12,9 +12,9 @@ from quillon.plans._read import table
 
 
 def _run(spark, sf):
-    """A ranked list of documents for each language, and grades 0 to 3, both made from ids and sizes."""
-    d = table(spark, sf, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL").select(F.col("lang").alias("query"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    return top_per(d, ["query"], 20), d.where("id % 3 = 0").select("query", "id", (F.col("id") % 4).cast("int").alias("grade"))
+    """A ranked list of documents for each language, and grades 0 to 3, both made from sizes."""
+    d = table(spark, sf, "documents").where("lang IS NOT NULL AND n_chars IS NOT NULL").select(F.col("lang").alias("query"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"), "license_status")
+    return top_per(d, ["query"], 20), d.where("license_status = 'known'").select("query", "id", (F.floor(F.col("score") / 300) % 4).cast("int").alias("grade"))
 
 
 def ndcg_recall(spark, sf):
@@ -186,7 +186,7 @@ def events_sessions(spark, sf):
     return e.groupBy(F.session_window("ts", "8 hours").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-_D = "d AS (SELECT lang AS query, doc_id AS id, n_chars::DOUBLE AS score FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM d) WHERE rank <= 20), t AS (SELECT query, id, id % 4 AS grade FROM d WHERE id % 3 = 0), m AS (SELECT r.query, sum(CASE WHEN rank <= 5 THEN coalesce(grade, 0) / log2(rank + 1) ELSE 0 END) AS dcg, count_if(rank <= 10 AND coalesce(grade, 0) >= 3) AS hits FROM r LEFT JOIN t USING (query, id) GROUP BY 1), i AS (SELECT query, sum(CASE WHEN p <= 5 THEN grade / log2(p + 1) ELSE 0 END) AS idcg, count_if(grade >= 3) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS p FROM t) GROUP BY 1), f AS (SELECT coalesce(m.query, i.query) AS query, CASE WHEN coalesce(idcg, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(dcg, 0) / idcg END AS ndcg, CASE WHEN coalesce(rel, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(hits, 0)::DOUBLE / rel END AS recall FROM m FULL JOIN i ON m.query = i.query)"
+_D = "d AS (SELECT lang AS query, doc_id AS id, n_chars::DOUBLE AS score, license_status FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM d) WHERE rank <= 20), t AS (SELECT query, id, floor(score / 300)::BIGINT % 4 AS grade FROM d WHERE license_status = 'known'), m AS (SELECT r.query, sum(CASE WHEN rank <= 5 THEN coalesce(grade, 0) / log2(rank + 1) ELSE 0 END) AS dcg, count_if(rank <= 10 AND coalesce(grade, 0) >= 3) AS hits FROM r LEFT JOIN t USING (query, id) GROUP BY 1), i AS (SELECT query, sum(CASE WHEN p <= 5 THEN grade / log2(p + 1) ELSE 0 END) AS idcg, count_if(grade >= 3) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS p FROM t) GROUP BY 1), f AS (SELECT coalesce(m.query, i.query) AS query, CASE WHEN coalesce(idcg, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(dcg, 0) / idcg END AS ndcg, CASE WHEN coalesce(rel, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(hits, 0)::DOUBLE / rel END AS recall FROM m FULL JOIN i ON m.query = i.query)"
 _EDGES = "(0.5), (1.0), (2.0), (5.0), (10.0), (20.0), (50.0), ('Infinity'::DOUBLE)"
 
 QUERIES = {f.__name__: f for f in (ndcg_recall, mean_metrics, eval_regression, hist_quantile, latency_quantiles, counter_pivot, hit_rate, failure_top, iso_week, license_census, id_shape_census, coverage_rate, count_divergence, row_digest, health_fold, latest_runs, rate_limit_offered, rate_limit_accepted, carry_forward_label, section_counter, disk_hysteresis, canonical_turn_ids, byte_cap_prefix, packed_blocks, fixed_windows, events_tumbling, events_sliding, events_sessions)}

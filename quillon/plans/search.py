@@ -62,10 +62,10 @@ def batch_knn(spark, sf, k: int = 10):
 
 
 def semantic_cache_lookup(spark, sf):
-    """Cached entries of the same scope (label) whose vectors are at least 0.5 similar to a query's, the best of each query."""
+    """Cached entries of the same scope (label) whose vectors are at least 0.25 similar to a query's, the best of each query."""
     e = table(spark, sf, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), "label")
-    pairs = e.where("vec_id % 100 <> 0").join(queries, "label").withColumn("score", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6)).where("score >= 0.25")
+    pairs = e.join(queries, "label").where("vec_id <> query").withColumn("score", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6)).where("score >= 0.25")
     return top_per(pairs, ["query"], 1, key="vec_id").select("query", "vec_id", "score")
 
 
@@ -157,7 +157,7 @@ ORACLE_SQL = {
     "dense_search_filtered": f"""SELECT id, paper_id, score FROM ({_s("embedding_proof", "source_kind = 'arxiv' AND paper_id >= '15' AND paper_id < '20'")}) ORDER BY score DESC, id LIMIT 20""",
     "dual_column_knn_rrf": f"SELECT * FROM ({_RRF}) LIMIT 50",
     "batch_knn": "SELECT * FROM (SELECT q.vec_id AS query, e.vec_id, round(greatest(0.0, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(greatest(0.0, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])), 6) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 10",
-    "semantic_cache_lookup": "SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0) WHERE score >= 0.25) WHERE n = 1",
+    "semantic_cache_lookup": "SELECT query, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS n FROM (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id) WHERE score >= 0.25) WHERE n = 1",
     "bm25_index_stats": f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_batch": f"WITH {_BATCH} SELECT query, id AS doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 10",
     "hybrid_rrf": f"""WITH {_BATCH}, a AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 50),
