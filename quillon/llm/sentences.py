@@ -191,7 +191,7 @@ def breaks(part: str, judge: Judge) -> list[int]:
                 if c not in BRACKETS:
                     opener, quoted = opener_at, True
                 k += 1
-            elif c.isspace() and stack and stack[-1][0] == "«" and part[k:].lstrip()[:1] == "»":
+            elif c.isspace() and stack and stack[-1][0] == "«" and part[k : k + 40].lstrip()[:1] == "»":
                 opener, quoted = stack.pop()[1], True
                 k = part.index("»", k) + 1
             else:
@@ -203,11 +203,11 @@ def breaks(part: str, judge: Judge) -> list[int]:
 
 
 def _ends(part: str, i: int, j: int, k: int, opener: int | None, judge: Judge) -> bool:
-    rest = part[k:]
-    nxt = rest.lstrip()
+    lead = UNSEEN.match(part, k)
+    nxt = part[lead.end() : lead.end() + 200]
     if not nxt:
         return False  # the end of the paragraph is one anyway
-    c, space, marks = nxt[0], len(rest) > len(nxt), part[i:j]
+    c, space, marks = nxt[0], any(x.isspace() for x in lead[0]), part[i:j]
     first = TOKEN.match(nxt)
     word = first[0] if first else ""
     if c in ",;:，、；：)]）】" or c in STOPS or c in STRONG:
@@ -216,7 +216,7 @@ def _ends(part: str, i: int, j: int, k: int, opener: int | None, judge: Judge) -
     if opener is not None:
         if c.islower() and not adic(word):
             return False
-        before = part[:opener].rstrip()
+        before = part[max(0, opener - 40) : opener].rstrip()
         if caseless(c) or any(x in WIDE for x in marks):
             return before[-1:] in (":", "：")
         if strong or c.isupper():
@@ -252,7 +252,7 @@ def _ends(part: str, i: int, j: int, k: int, opener: int | None, judge: Judge) -
             return adic(word)
         if c.isdigit():
             return space and "." in tail
-        previous = re.findall(r"\w+", part[:start][-40:])[-1:] or [""]
+        previous = re.findall(r"\w+", part[max(0, start - 40) : start])[-1:] or [""]
         return not (c.isupper() and tail.isdigit() and len(tail) <= 2 and previous[0].lower() in ORDINAL_BEFORE and not judge.starter(word))
     # the part after the last bare stop counts too: in "e.g" that is a single letter
     if "." in tail and not tail[-1:].isdigit():
@@ -274,6 +274,8 @@ def _ends(part: str, i: int, j: int, k: int, opener: int | None, judge: Judge) -
     return True
 
 
+# white space and characters without width
+UNSEEN = re.compile(r"[\s\u00ad\u200b-\u200d\u2060\ufeff]*")
 THAI_SPACE = re.compile(r"(?<=[\u0e00-\u0e7f])\s+(?=[\u0e00-\u0e7f])")
 
 
