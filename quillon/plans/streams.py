@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quillon.session import shared_dir
+from quillon.session import scratch
 from quillon.sources.catalog import Catalog
 from quillon.streaming import jobs
 
@@ -43,7 +41,7 @@ def stream_rate_limit(spark, sf):
 
 def delta_apply(spark, sf):
     """The last event of each user; a user whose last event is an error is deleted."""
-    catalog = Catalog(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}")
+    catalog = Catalog(spark, scratch(spark, "catalog"))
     e = _events(spark, sf).select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("gone"))
     jobs.apply_delta(catalog, "users", e, "user_id", "event_id", "gone")
     return catalog.scan("users").select("user_id", "event_id", "event_type", "value")

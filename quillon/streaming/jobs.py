@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators import merge
-from quillon.session import shared_dir
+from quillon.session import scratch
 from quillon.sources.catalog import Catalog
 
 
@@ -31,7 +30,7 @@ def run(df: DataFrame, mode: str = "append") -> DataFrame:
     ``complete`` keeps the last batch's table, ``append`` collects all batches.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     if mode == "append":
         q = df.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     else:
@@ -73,7 +72,7 @@ def apply_delta(catalog: Catalog, name: str, changes: DataFrame, key: str, order
         finally:
             rows.unpersist()
 
-    root = f"{shared_dir(changes.sparkSession)}/delta-{uuid.uuid4().hex}"
+    root = scratch(changes.sparkSession, "delta")
     changes.writeStream.foreachBatch(batch).option("checkpointLocation", root).trigger(availableNow=True).start().awaitTermination()
 
 
