@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from quillon.session import materialize
 
 #: Neighbours kept of each vector while the graph is built, hash tables, vectors of a bucket compared at once.
-KEEP, TABLES, WINDOW = 8, 5, 512
+KEEP, TABLES, WINDOW = 8, 8, 512
 #: Vectors of a bucket that the tables aim at, and vectors of a block of one round.
 BUCKET, BLOCK = 32, 8192
 #: The rounds end when fewer than this share of all links is new, or after so many.
