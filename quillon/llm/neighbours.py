@@ -20,7 +20,7 @@ KEEP, TABLES, WINDOW = 8, 8, 512
 #: Vectors of a bucket that the tables aim at, and vectors of a block of one round.
 BUCKET, BLOCK = 32, 8192
 #: The rounds end when fewer than this share of all links is new, or after so many.
-SETTLED, MOST_ROUNDS = 0.01, 6
+SETTLED, MOST_ROUNDS = 0.02, 6
 #: Vectors are kept as unit vectors of 16-bit numbers: cosines are exact to about 1e-5, equal vectors stay equal.
 SCALE = 32767
 
@@ -53,11 +53,11 @@ class Hasher:
         self.turns = [[turn() for _ in self.digits] for _ in range(self.tables)]
         self.lines = [rng.standard_normal(dim) for _ in range(self.tables)]
 
-    def codes(self, q: np.ndarray, space: np.ndarray) -> np.ndarray:
+    def codes(self, q: np.ndarray, space: np.ndarray, tables: int | None = None) -> np.ndarray:
         """A row for each vector, a number for each table: table, space, digits; then a place in the bucket, 16 bits."""
-        x = q / SCALE
-        out = np.empty((len(q), self.tables), np.int64)
-        for t in range(self.tables):
+        x, tables = q / SCALE, tables or self.tables
+        out = np.empty((len(q), tables), np.int64)
+        for t in range(tables):
             code = np.int64(t) * 16 + space
             digits = np.zeros(len(q), np.int64)
             for turn, width in zip(self.turns[t], self.digits):
@@ -201,7 +201,7 @@ def _meet(dim: int, keep: int, floor: float):
 class NeighbourGraph:
     """The neighbour graph of a table of vectors, built by NN-descent.
 
-    ``vectors``: (id, p, q, codes) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
+    ``vectors``: (id, p, q, space) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
     the least KEEP of them; ``graph``: (u, pu, q, links) with links (sim, v, pv), best first.
 
     Null, zero, not finite and wrong-length vectors and null keys take no part. Repeated rows count once, equal vectors
@@ -225,17 +225,15 @@ class NeighbourGraph:
                     continue
                 take = pa.array(at)
                 space_ = b.column(1).take(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), _longs(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "q", "codes"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64), 1)[:, 0] >> 16)], names=["key", "space", "q", "bucket"])
 
-        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, codes array<long>").withColumn("id", F.xxhash64("space", "q")))
+        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, bucket long").withColumn("id", F.xxhash64("space", "q")))
         self.members = made.select("id", "key").distinct()
-        distinct = made.groupBy("id").agg(F.first("q").alias("q"), F.first("codes").alias("codes"))
-        bucket = F.shiftright(F.col("codes")[0], 16)
-        distinct = materialize(distinct)
-        hot = distinct.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
+        distinct = materialize(made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "space", "bucket"))))
+        hot = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
         split = F.when(F.col("n").isNotNull(), F.pmod("id", F.ceil(F.col("n") / BLOCK))).otherwise(0)
-        placed = distinct.withColumn("bucket", bucket).join(hot, "bucket", "left")
-        self.vectors = placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(blocks)).cast("int").alias("p"), "q", "codes")
+        placed = distinct.join(hot, "bucket", "left")
+        self.vectors = placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(blocks)).cast("int").alias("p"), "q", "space")
         first = self.members.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(f"n <= {keep}")
         self.first = first.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         self.graph = self._descend(self._initial())
@@ -245,8 +243,22 @@ class NeighbourGraph:
         one = F.collect_set(F.struct((-F.col("sim")).alias("far"), "v", "pv"))
         return links.groupBy("u").agg(F.slice(F.array_sort(one), 1, self.keep).alias("links"))
 
+    def _placed(self, columns: list[str]) -> DataFrame:
+        """The vectors once for each table, with their code; the codes are worked out where they are needed, not stored."""
+        dim, hasher = self.dim, self.hasher
+
+        def run(batches):
+            for b in batches:
+                for lo in range(0, b.num_rows, 2000):
+                    part = b.slice(lo, 2000)
+                    codes = hasher.codes(_matrix(part.column(2), dim), part.column(3).to_numpy().astype(np.int64))
+                    for t in range(codes.shape[1]):
+                        yield pa.RecordBatch.from_arrays([pa.array(codes[:, t]), *(part.column(i) for i in range(3))], names=["code", "id", "p", "q"])
+
+        return self.vectors.select("id", "p", "q", "space").mapInArrow(run, "code long, id long, p int, q binary").select("code", *columns)
+
     def _initial(self) -> DataFrame:
-        placed = self.vectors.select(F.explode("codes").alias("code"), "id", "p", "q").repartitionByRange("code").sortWithinPartitions("code")
+        placed = self._placed(["id", "p", "q"]).repartitionByRange("code").sortWithinPartitions("code")
         links = self._ranked(placed.mapInArrow(_bucket_links(self.dim, self.keep, self.floor), _LINK))
         return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "q").join(links, "u", "left"))
 
@@ -300,9 +312,9 @@ class NeighbourGraph:
 
         asked = queries.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL").groupBy("key").agg(F.min("v").alias("v"))
         asked = materialize(asked.mapInArrow(prepare, "key string, qq binary, codes array<long>"))
-        bucketed = lambda d: d.select("*", F.explode("codes").alias("c")).withColumn("bucket", F.shiftright("c", 16))
-        entry = bucketed(self.vectors).withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(f"n <= {beam}").select("bucket", F.col("id").alias("v"))
-        open_ = bucketed(asked).select("key", "bucket").join(entry, "bucket").select("key", "v").distinct()
+        bucketed = self._placed(["id"]).select("id", F.shiftright("code", 16).alias("bucket"))
+        entry = bucketed.withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(f"n <= {beam}").select("bucket", F.col("id").alias("v"))
+        open_ = asked.select("key", F.explode("codes").alias("c")).select("key", F.shiftright("c", 16).alias("bucket")).join(entry, "bucket").select("key", "v").distinct()
         vectors, state = self.vectors.select(F.col("id").alias("v"), "q"), None
         links = self.graph.where("links IS NOT NULL").select(F.col("u").alias("v"), F.transform("links", lambda x: x.v).alias("vs"))
         w = W.partitionBy("key").orderBy(F.desc("sim"), "v")
