@@ -309,3 +309,38 @@ def rerank_overlap(spark, sf):
     fused = hybrid_rrf(spark, sf).join(docs, "doc_id").join(table(spark, sf, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("q")), "query")
     judged = hooks.rerank(fused.drop("score", "rank"), "q", "body", lambda: hooks.overlap_reranker)
     return top_per(judged, ["query"], 3, key="doc_id").select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT item_id, unnest(list_filter([CASE WHEN trim(text) = '' THEN 'text' END, CASE WHEN n > 1 THEN 'unique' END, CASE WHEN k < 5 THEN 'suite' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT item_id, text, count(*) OVER (PARTITION BY item_id) AS n, count(*) OVER (PARTITION BY suite) AS k FROM eval_items)")
+def fixture_gates(spark, sf):
+    """Test items that break a rule: no text, an id twice, a suite of under five items."""
+    i = table(spark, sf, "eval_items").withColumns({"n": F.count(F.lit(1)).over(W.partitionBy("item_id")), "k": F.count(F.lit(1)).over(W.partitionBy("suite"))})
+    return merge.violations(i, {"text": F.trim("text") != "", "unique": F.col("n") == 1, "suite": F.col("k") >= 5}, "item_id")
+
+
+@query("SELECT 'chunks' AS name, count(DISTINCT chunk_id) AS rows FROM chunks UNION ALL SELECT 'names', count(DISTINCT (paper_id, theorem_name, section_path)) FROM chunks WHERE trim(theorem_name) <> '' UNION ALL SELECT 'terms', count(DISTINCT t) FROM (SELECT unnest(string_split(body_tokens, ' ')) AS t FROM chunks) WHERE t <> ''")
+def derived_indexes(spark, sf):
+    """Chunks published as a table, the indexes made from that version published beside it; their row counts from the manifest."""
+    from quillon.operators.bm25 import Bm25
+    from quillon.operators.extract import theorem_names
+    from quillon.session import scratch
+    from quillon.sources.catalog import Catalog
+
+    c = Catalog(spark, scratch(spark, "catalog"))
+    source = table(spark, sf, "chunks").select("chunk_id", "paper_id", "theorem_name", "section_path", "body_tokens")
+    c.write("chunks", merge.latest(source, ["chunk_id"], [F.col("paper_id")]))
+    rows = c.scan("chunks")
+    c.write("names", theorem_names(rows).dropDuplicates(["dedup_key"]))
+    c.write("terms", Bm25(rows.select(F.col("chunk_id").alias("id"), F.filter(F.split("body_tokens", " "), lambda x: x != "").alias("tokens"))).terms)
+    return spark.createDataFrame([(n, m["rows"]) for n, m in c.manifest().items()], "name string, rows long")
+
+
+@query("SELECT item_id, coalesce(t1, t2) AS entry, CASE WHEN t1 IS NOT NULL THEN 'exact' WHEN t2 IS NOT NULL THEN 'near' ELSE 'miss' END AS tier FROM (SELECT i.item_id, (SELECT min(b.item_id) FROM eval_items b WHERE b.text = i.text AND b.item_id <> i.item_id) AS t1, (SELECT min(b.item_id) FROM eval_items b WHERE b.suite = i.suite AND b.item_id <> i.item_id AND length(b.text) = length(i.text)) AS t2 FROM eval_items i)")
+def cache_tiers(spark, sf):
+    """Each item looked up among the others: an equal text first, else one of the same scope and length, else none."""
+    i = table(spark, sf, "eval_items").select("item_id", "suite", "text", F.length("text").alias("n"))
+    o = i.select(F.col("item_id").alias("entry"), "suite", "text", "n")
+    exact = i.join(o.select("entry", "text"), "text").where("entry <> item_id").groupBy("item_id").agg(F.min("entry").alias("t1"))
+    near = i.join(o.select("entry", "suite", "n"), ["suite", "n"]).where("entry <> item_id").groupBy("item_id").agg(F.min("entry").alias("t2"))
+    both = i.select("item_id").join(exact, "item_id", "left").join(near, "item_id", "left")
+    return both.select("item_id", F.coalesce("t1", "t2").alias("entry"), F.when(F.col("t1").isNotNull(), "exact").when(F.col("t2").isNotNull(), "near").otherwise("miss").alias("tier"))

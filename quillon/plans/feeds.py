@@ -54,11 +54,34 @@ def failure_records(spark, sf):
     return feeds.failure_logs(tsv, jsonl, "line")
 
 
-QUERIES = {f.__name__: f for f in (oai_records, atom_entries, json_works, exposition_samples, failure_records)}
+def oai_revisions(spark, sf):
+    """Version histories with RFC-2822 dates."""
+    d = table(spark, sf, "documents").where("arxiv_version <> ''").groupBy("work_id", "arxiv_version").agg(F.max("revised_at").alias("t"), F.max("license_status").alias("lic"))
+    version = F.concat(F.lit('<version version="'), F.col("arxiv_version"), F.lit('"><date>'), F.coalesce(F.date_format(F.col("t").cast("timestamp"), "EEE, d MMM yyyy HH:mm:ss 'GMT'"), F.lit("")), F.lit("</date></version>"))
+    page = d.groupBy("work_id").agg(F.concat(F.lit('<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><GetRecord><record><metadata><arXivRaw><id>'), F.first("work_id"), F.lit("</id><license>"), F.max("lic"), F.lit("</license>"), F.array_join(F.array_sort(F.collect_list(version)), ""), F.lit("</arXivRaw></metadata></record></GetRecord></OAI-PMH>")).alias("xml"))
+    return feeds.revisions(page, "xml").select("paper_id", "license", "version", F.unix_seconds("posted_at").alias("posted"))
+
+
+def inspire_records(spark, sf):
+    p = table(spark, sf, "paper_metadata").groupBy("paper_id").agg(F.max("title").alias("title"), F.max("authors").alias("a"), F.max("categories").alias("c"), F.max("year").alias("year"))
+    refs = table(spark, sf, "cites").groupBy(F.col("src").alias("paper_id")).agg(F.array_sort(F.collect_set("dst")).alias("refs"))
+    names = F.transform(F.from_json("a", "array<string>"), lambda x: F.struct(x.alias("full_name")))
+    raw = p.join(refs, "paper_id", "left").select(F.to_json(F.struct(F.struct(F.array(F.struct("title")).alias("titles"), names.alias("authors"), F.array(F.struct(F.col("paper_id").alias("value"), F.from_json("c", "array<string>").alias("categories"))).alias("arxiv_eprints"), F.transform("refs", lambda x: F.struct(F.struct(x.alias("arxiv_eprint")).alias("reference"))).alias("references"), F.array(F.struct(F.lit("J").alias("journal_title"), F.nullif("year", F.lit(0)).alias("year"), F.lit("3").alias("page_start"), F.lit("9").alias("page_end"))).alias("publication_info")).alias("metadata"))).alias("raw"))
+    return feeds.inspire_records(raw, "raw").select("paper_id", "title", "authors", F.coalesce(F.size("categories"), F.lit(0)).cast("long").alias("categories"), F.coalesce(F.size("references"), F.lit(0)).cast("long").alias("references"), "journal")
+
+
+def render_states(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", feeds.render_state(F.col("text")).alias("state"))
+
+
+QUERIES = {f.__name__: f for f in (oai_records, atom_entries, json_works, exposition_samples, failure_records, oai_revisions, inspire_records, render_states)}
 ORACLE_SQL = {
     "oai_records": "SELECT paper_id, substring(max(fetched_at), 1, 10) AS datestamp, max(year) = 0 AS deleted, 't1' AS token FROM paper_metadata GROUP BY 1",
     "atom_entries": r"SELECT paper_id, 'v2' AS version, trim(regexp_replace(max(title), '\s+', ' ', 'g')) AS title FROM paper_metadata GROUP BY 1",
     "json_works": r"WITH p AS (SELECT paper_id, max(title) AS title, max(year)::BIGINT AS year, max(abstract) AS abstract FROM paper_metadata WHERE abstract <> '' GROUP BY 1), r AS (SELECT src, count(DISTINCT dst) AS n FROM cites GROUP BY 1) SELECT replace(paper_id, '/', '_') AS work, title, year, array_to_string(list_filter(string_split(abstract, ' '), lambda x: x <> ''), ' ') AS abstract, coalesce(n, 0) AS references FROM p LEFT JOIN r ON src = paper_id",
     "exposition_samples": "SELECT 'requests_total' AS name, event_type AS tool, user_id, count(*)::DOUBLE AS value FROM events GROUP BY 2, 3 UNION ALL SELECT 'up', NULL, NULL, 1.0",
     "failure_records": """WITH r AS (SELECT DISTINCT id, coalesce(stderr_tail, '') AS reason, strftime(started_at, '%Y-%m-%d') AS "at" FROM notebook_ingest_runs WHERE status = 'failed') SELECT 'fetch' AS stage, id AS paper, reason, "at" FROM r UNION ALL SELECT 'parse', id, reason, "at" FROM r UNION ALL SELECT 'fetch', NULL, 'unreadable: no tabs here', NULL UNION ALL SELECT 'parse', NULL, 'unreadable: no tabs here', NULL""",
+    "oai_revisions": "WITH d AS (SELECT work_id, arxiv_version, max(revised_at) AS t, max(license_status) AS lic FROM documents WHERE arxiv_version <> '' GROUP BY 1, 2) SELECT work_id AS paper_id, max(lic) OVER (PARTITION BY work_id) AS license, arxiv_version AS version, epoch(date_trunc('second', t))::BIGINT AS posted FROM d",
+    "inspire_records": "WITH r AS (SELECT src, count(DISTINCT dst) AS n FROM cites GROUP BY 1), p AS (SELECT paper_id, max(title) AS title, max(authors) AS a, max(categories) AS c, max(year) AS year FROM paper_metadata GROUP BY 1) SELECT paper_id, title, coalesce(array_to_string(from_json(a, '[\"VARCHAR\"]'), '; '), '') AS authors, len(list_distinct(from_json(c, '[\"VARCHAR\"]'))) AS categories, coalesce(n, 0) AS references, 'J ' || CASE WHEN year <> 0 THEN '(' || year || ') ' ELSE '' END || '3-9' AS journal FROM p LEFT JOIN r ON src = paper_id",
+    "render_states": r"SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' WHEN contains(lower(text), 'could not be processed') THEN 'banner' WHEN NOT regexp_matches(text, '<math\b|\$') THEN 'no_math' ELSE 'ok' END AS state FROM documents",
 }

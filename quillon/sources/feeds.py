@@ -98,3 +98,37 @@ def main_source(files: DataFrame, paper: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rank = F.struct(F.size(F.split("path", "/")), F.when(name == F.concat(F.col(paper), F.lit(".tex")), 0).when(F.col("text").contains("\\documentclass"), 1).otherwise(2), F.col("path"))
     return files.groupBy(paper).agg(F.min_by("path", rank).alias("path"))
+
+
+RAW = "struct<GetRecord:struct<record:struct<metadata:struct<arXivRaw:struct<id:string,license:string,version:array<struct<_version:string,date:string>>>>>>>"
+
+
+def revisions(pages: DataFrame, xml: str) -> DataFrame:
+    """(paper_id, license, version, posted_at) of GetRecord pages; dates without their weekday, which Spark can't parse."""
+    r = pages.select(F.from_xml(_unprefixed(F.col(xml)), RAW).GetRecord.record.metadata.arXivRaw.alias("r"))
+    v = r.select(F.col("r.id").alias("paper_id"), F.nullif(F.trim("r.license"), F.lit("")).alias("license"), F.explode("r.version").alias("v"))
+    day = F.regexp_replace("v.date", r"^\s*\w{3},\s*", "")
+    return v.select("paper_id", "license", F.col("v._version").alias("version"), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss z")).alias("posted_at"))
+
+
+INSPIRE = "struct<metadata:struct<titles:array<struct<title:string>>,authors:array<struct<full_name:string>>,arxiv_eprints:array<struct<value:string,categories:array<string>>>,references:array<struct<reference:struct<arxiv_eprint:string>>>,publication_info:array<struct<journal_title:string,journal_volume:string,year:int,page_start:string,page_end:string>>>>"
+
+
+def inspire_records(rows: DataFrame, raw: str) -> DataFrame:
+    """(paper_id, title, authors, categories, references, journal) of JSON records; lists without repeats in their order."""
+    m = rows.select(F.from_json(raw, INSPIRE).metadata.alias("m")).where("m IS NOT NULL")
+    p = F.try_element_at("m.publication_info", F.lit(1))
+    pages = F.when(p.page_end.isNotNull(), F.concat_ws("-", p.page_start, p.page_end)).otherwise(p.page_start)
+    named = lambda c: F.array_distinct(F.filter(c, lambda x: x.isNotNull()))
+    return m.select(
+        F.try_element_at("m.arxiv_eprints", F.lit(1)).value.alias("paper_id"), F.try_element_at("m.titles", F.lit(1)).title.alias("title"),
+        F.array_join(F.transform("m.authors", lambda a: a["full_name"]), "; ").alias("authors"),
+        named(F.flatten(F.transform("m.arxiv_eprints", lambda e: e["categories"]))).alias("categories"),
+        named(F.transform("m.references", lambda r: r["reference"]["arxiv_eprint"])).alias("references"),
+        F.nullif(F.concat_ws(" ", p.journal_title, p.journal_volume, F.when(p.year.isNotNull(), F.concat(F.lit("("), p.year.cast("string"), F.lit(")"))), pages), F.lit("")).alias("journal"),
+    )
+
+
+def render_state(html: Column) -> Column:
+    """Why a rendered page is of no use, or ``ok``: empty, an error banner, or no formula."""
+    return F.when(F.trim(F.coalesce(html, F.lit(""))) == "", "empty").when(F.lower(html).contains("could not be processed"), "banner").when(~html.rlike(r"<math\b|\$"), "no_math").otherwise("ok")
