@@ -57,7 +57,8 @@ def _prepare(size: int, least_words: int):
                     continue
                 w = rows(w, long)
                 s = distinct(shingles(w, size))
-                scope = np.array([mix(np.array([hash_text(x)], np.uint64))[0] for x in part.column(0).to_pylist()], np.uint64)[long]
+                scopes = part.column(0).dictionary_encode()  # few: hashed once each
+                scope = mix(np.array([hash_text(x) for x in scopes.dictionary.to_pylist()] + [hash_text(None)], np.uint64))[scopes.indices.fill_null(-1).to_numpy(zero_copy_only=False)][long]
                 m = min_hashes(s)
                 own = mix(np.add.reduceat(mix(s.hashes), s.offs[:-1]) ^ scope)
                 two = (m & np.uint64(3)).astype(np.uint64)
