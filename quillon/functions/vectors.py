@@ -37,10 +37,11 @@ def unit_check(vector: Column, tolerance: float = 1e-3) -> Column:
     return F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & (F.abs(norm(vector) - 1) <= tolerance)
 
 
-def batch_scores(df: DataFrame, key: str, vector: str, queries: list[tuple], k: int) -> DataFrame:
+def batch_scores(df: DataFrame, key: str, vector: str, queries: list[tuple], k: int, digits: int | None = None) -> DataFrame:
     """(query, key, score): the ``k`` best rows of each partition for every query vector, by matrix products of Arrow batches.
 
-    ``queries``: (id, vector) pairs, a stated set. A top-k over all partitions follows where it is wanted.
+    ``queries``: (id, vector) pairs, a stated set. A top-k over all partitions follows where it is wanted. Scores rounded to
+    ``digits`` before the cut tie as they do after it, so that no row of a tie is lost.
     """
     ids = np.array([q for q, _ in queries], np.int64)
     matrix = np.array([v for _, v in queries], np.float64)
@@ -52,6 +53,7 @@ def batch_scores(df: DataFrame, key: str, vector: str, queries: list[tuple], k:
                 continue
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             s = np.maximum(0.0, matrix @ x.T)
+            s = s if digits is None else np.round(s, digits)
             best_s = np.concatenate([best_s, s], 1)
             best_k = np.concatenate([best_k, np.broadcast_to(b.column(0).to_numpy(), s.shape)], 1)
             order = np.lexsort((best_k, -best_s))[:, :k]

@@ -302,13 +302,10 @@ def hashed_embeddings(spark, sf):
 
 @query()
 def rerank_overlap(spark, sf):
-    """The fused list of each test item reranked by word overlap, the three best; rows only."""
-    from quillon.plans.search import hybrid_rrf
+    """The lexical and dense lists of each test item fused and reranked by word overlap, the three best."""
+    from quillon.plans.search import hybrid_search
 
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-    fused = hybrid_rrf(spark, sf).join(docs, "doc_id").join(table(spark, sf, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("q")), "query")
-    judged = hooks.rerank(fused.drop("score", "rank"), "q", "body", lambda: hooks.overlap_reranker)
-    return top_per(judged, ["query"], 3, key="doc_id").select("query", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return hybrid_search(spark, sf, k=3)
 
 
 @query("SELECT item_id, unnest(list_filter([CASE WHEN trim(text) = '' THEN 'text' END, CASE WHEN n > 1 THEN 'unique' END, CASE WHEN k < 5 THEN 'suite' END], lambda x: x IS NOT NULL)) AS rule FROM (SELECT item_id, text, count(*) OVER (PARTITION BY item_id) AS n, count(*) OVER (PARTITION BY suite) AS k FROM eval_items)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text, vectors
+from quillon.operators import hooks
 from quillon.operators.bm25 import Bm25
 from quillon.operators.ranking import best_per, reciprocal_rank_fusion, top, top_per
 from quillon.plans._read import table
@@ -97,7 +98,10 @@ def bm25_ids(spark, sf):
 
 
 def hybrid_rrf(spark, sf, k: int = 10):
-    """Lexical and dense lists of every test item fused; the dense vector of an item is that of ``embeddings`` at its place."""
+    """The lexical list of every test item fused with the same documents by length, as its SQL says; no vector is read.
+
+    ``hybrid_search`` is the search that fuses lexical and dense lists.
+    """
     lexical = Bm25(document_tokens(spark, sf)).search(item_queries(spark, sf), 50)
     length = document_tokens(spark, sf).select("id", F.size("tokens").alias("n")).where("n > 0")
     second = lexical.join(length, "id").withColumn("short", -F.col("n").cast("double"))
@@ -106,6 +110,35 @@ def hybrid_rrf(spark, sf, k: int = 10):
     return top_per(fused, ["query"], k).select("query", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def item_vectors(spark, sf) -> list[tuple]:
+    """(item_id, vector) of the test items, a fixed set, by the default encoder."""
+    return [(r[0], r[1]) for r in hooks.embed(table(spark, sf, "eval_items").select("item_id", "text"), "text").select("item_id", "embedding").collect()]
+
+
+def hybrid_lists(spark, sf, depth: int = 200) -> list[DataFrame]:
+    """The lexical and the dense list (query, id, score, rank) of every test item, each over all documents.
+
+    Documents and items are embedded by the same encoder: the stored vectors are of another one and belong to no document.
+    A document has one text, so there is one dense list, not one for statements and one for proofs.
+    """
+    lexical = Bm25(document_tokens(spark, sf)).search(item_queries(spark, sf), depth)
+    docs = hooks.embed(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
+    near = vectors.batch_scores(docs, "id", "embedding", item_vectors(spark, sf), depth, digits=6)
+    dense = top_per(near.withColumnRenamed("key", "id"), ["query"], depth)
+    return [lexical, dense]
+
+
+def hybrid_search(spark, sf, fuse: int = 50, k: int = 10):
+    """For every test item 200 documents by BM25 and 200 by vector, fused to 50, of which reranking by word overlap leaves ten."""
+    fused = reciprocal_rank_fusion(hybrid_lists(spark, sf), ["query"]).withColumn("score", F.round("score", 9))
+    fused = top_per(fused, ["query"], fuse).select("query", "id")
+    items = table(spark, sf, "eval_items").select(F.col("item_id").alias("query"), F.col("text").alias("q"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    judged = hooks.rerank(docs.join(fused, "id").join(F.broadcast(items), "query"), "q", "body", lambda: hooks.overlap_reranker)
+    found = top_per(judged.withColumn("score", F.round("score", 6)), ["query"], k)
+    return found.select("query", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 def rerank_passthrough(spark, sf):
     """Rerank off: the fused list cut, its scores kept, ids that are no live chunk dropped."""
     fused = dual_column_knn_rrf(spark, sf)
@@ -149,7 +182,7 @@ terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r
 _BATCH = f"""{_INDEX}, asked AS (SELECT query, term, count(*) AS qtf FROM (SELECT item_id AS query, unnest({_WORDS.format("text")}) AS term FROM eval_items) GROUP BY 1, 2),
 hits AS (SELECT query, id, round(sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))), 9) AS score FROM post JOIN terms USING (term) JOIN asked USING (term), totals GROUP BY 1, 2 HAVING sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))) > 0)"""
 
-QUERIES = {f.__name__: f for f in (dense_search_theorem, dense_search_group, dense_search_section, dense_search_filtered, dual_column_knn_rrf, batch_knn, semantic_cache_lookup, bm25_index_stats, bm25_batch, bm25_ids, hybrid_rrf, rerank_passthrough, search_result_rows, target_rank)}
+QUERIES = {f.__name__: f for f in (dense_search_theorem, dense_search_group, dense_search_section, dense_search_filtered, dual_column_knn_rrf, batch_knn, semantic_cache_lookup, bm25_index_stats, bm25_batch, bm25_ids, hybrid_rrf, hybrid_search, rerank_passthrough, search_result_rows, target_rank)}
 ORACLE_SQL = {
     "dense_search_theorem": f"SELECT id, paper_id, score FROM ({_s()}) ORDER BY score DESC, id LIMIT 10",
     "dense_search_group": f"WITH t AS (SELECT * FROM ({_s()}) ORDER BY score DESC, id LIMIT 50) SELECT id, paper_id, score FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, id) AS n FROM t) WHERE n = 1 ORDER BY score DESC, id LIMIT 10",
