@@ -62,3 +62,27 @@ def batch_scores(df: DataFrame, key: str, vector: str, queries: list[tuple], k:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_k.reshape(-1)), pa.array(best_s.reshape(-1))], names=["query", "key", "score"])
 
     return df.select(F.col(key).cast("long"), vector).where(f"{vector} IS NOT NULL").mapInArrow(run, "query long, key long, score double")
+
+
+def nearest_of(df: DataFrame, key: str, vector: str, among: list[tuple], k: int, digits: int = 6) -> DataFrame:
+    """(key, item, score, rank): for every row its ``k`` most similar of a stated set of (id, vector), by matrix products.
+
+    A row without a vector has one row with null item, score and rank.
+    """
+    among = sorted(among, key=lambda x: x[0])
+    ids, matrix = np.array([q for q, _ in among], np.int64), np.array([v for _, v in among], np.float64)
+
+    def run(batches):
+        for b in batches:
+            have = b.filter(b.column(1).is_valid())
+            none = b.column(0).filter(b.column(1).is_null())
+            x = have.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(have.num_rows, matrix.shape[1])
+            s = np.round(np.maximum(0.0, x @ matrix.T), digits)
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # stable: of equal scores the least id
+            n = best.shape[1]
+            cols = [np.repeat(have.column(0).to_numpy(), n), ids[best].reshape(-1), np.take_along_axis(s, best, 1).reshape(-1), np.tile(np.arange(1, n + 1), have.num_rows)]
+            types = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["key", "item", "score", "rank"])
+            yield pa.RecordBatch.from_arrays([none, *(pa.nulls(len(none), t) for t in types[1:])], names=["key", "item", "score", "rank"])
+
+    return df.select(F.col(key).cast("long"), vector).mapInArrow(run, "key long, item long, score double, rank long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillon.functions import text
+from quillon.functions import text, vectors
 from quillon.operators import hooks, merge, reports
 from quillon.operators.ranking import top_per
 from quillon.plans._read import table
@@ -295,9 +295,12 @@ def pending_embeddings(spark, sf):
 
 @query()
 def hashed_embeddings(spark, sf):
-    """Every document embedded by the default encoder, three nearest test items each; rows only."""
-    d = hooks.embed(table(spark, sf, "eval_items").select("item_id", "text"), "text")
-    return d.select("item_id", F.size("embedding").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    """Every document embedded by the default encoder, three nearest test items each; one without text has nulls."""
+    from quillon.plans.search import item_vectors
+
+    d = hooks.embed(table(spark, sf, "documents").select("doc_id", "text"), "text")
+    near = vectors.nearest_of(d, "doc_id", "embedding", item_vectors(spark, sf), 3)
+    return near.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "score", "rank")
 
 
 @query()

@@ -43,3 +43,18 @@ def test_hybrid_search_fuses_lexical_and_dense(spark, small):
         share = {d: round(len(words(items[item]) & words(docs[d])) / max(1, len(words(items[item]))), 6) for d in fused}
         assert got[item] == {n: (d, share[d]) for n, d in enumerate(sorted(fused, key=lambda d: (-share[d], d))[:10], 1)}
     assert {(r["query"], r["rank"]): r["doc_id"] for r in QUERIES["rerank_overlap"](spark, small).collect()} == {(q, n): d for q, x in got.items() for n, (d, _) in x.items() if n <= 3}
+
+
+def test_hashed_embeddings_reads_every_document(spark, small):
+    docs, items = read(spark, small, "documents", "doc_id", "text"), sorted(read(spark, small, "eval_items", "item_id", "text"))
+    unit = lambda x: hooks.hashing_embedder(x).astype("float32").astype(float)
+    among = unit([t for _, t in items])
+    want = set()
+    for k, t in docs:
+        if t is None:
+            want.add((k, None, None, None))
+            continue
+        s = np.round(np.maximum(0, unit([t]) @ among.T), 6)[0]
+        want |= {(k, items[j][0], s[j], n) for n, j in enumerate(sorted(range(len(items)), key=lambda j: (-s[j], j))[:3], 1)}
+    got = [tuple(r) for r in QUERIES["hashed_embeddings"](spark, small).select("doc_id", "item_id", "score", "rank").collect()]
+    assert len(got) == len(set(got)) and {*got} == want
