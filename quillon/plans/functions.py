@@ -82,6 +82,13 @@ def formula_atoms(spark, sf):
     return rows.select("doc_id", F.array_join(text.latex_atoms(F.col("f")), " ").alias("atoms"))
 
 
+def all_formula_atoms(spark, sf):
+    """The atoms of every formula of each document, by its 1-based place; ``formula_atoms`` has the first formulas only."""
+    f = F.regexp_extract_all("text", F.lit(r"\$([^$]*)\$"), F.lit(1))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(f).alias("place", "f")).where("f <> ''")
+    return rows.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), F.array_join(text.latex_atoms(F.col("f")), " ").alias("atoms"))
+
+
 def json_fields(spark, sf):
     """Lists in JSON text: their sizes, and categories without repeats in their order."""
     p = table(spark, sf, "paper_metadata").groupBy("paper_id").agg(F.max("authors").alias("a"), F.max("categories").alias("c"))
@@ -122,7 +129,7 @@ _Q = "trim(regexp_replace(substring(text, 1, 200), '\\s+', ' ', 'g'))"
 _ROUTE = "CASE " + " ".join(f"WHEN regexp_matches({_Q}, '(?i){'|'.join(p)}') THEN '{t}'" for t, p in text.ROUTES.items()) + " ELSE 'LOOKUP' END"
 _PREF = "lpad(strlen(coalesce({0}, ''))::VARCHAR, 8, '0') || coalesce({0}, '')"
 
-QUERIES = {f.__name__: f for f in (math_tokens, name_keys, name_trigrams, distance_scores, route_queries, model_select, snippets, chunk_labels, content_ids, revision_ids, fetched_times, strip_comments, formula_atoms, json_fields, usable_metadata, ordered_json, licence_decisions, inverted_index_roundtrip)}
+QUERIES = {f.__name__: f for f in (math_tokens, name_keys, name_trigrams, distance_scores, route_queries, model_select, snippets, chunk_labels, content_ids, revision_ids, fetched_times, strip_comments, formula_atoms, all_formula_atoms, json_fields, usable_metadata, ordered_json, licence_decisions, inverted_index_roundtrip)}
 ORACLE_SQL = {
     "math_tokens": f"SELECT doc_id, array_to_string(list_transform({_TOK}, lambda t: {_ONE}), ' ') AS tokens FROM documents",
     "name_keys": "SELECT dedup_key, regexp_replace(strip_accents(lower(display_name)), '[^a-z0-9]', '', 'g') AS name_key FROM theorem_names",
@@ -135,6 +142,7 @@ ORACLE_SQL = {
     "content_ids": f"SELECT doc_id, substring(sha256(section_no::VARCHAR || coalesce(text, '')), 1, 16) AS short_id, sha256(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS normal_hash, sha256({_PREF.format('work_id')} || {_PREF.format('arxiv_version')} || {_PREF.format('lang')}) AS identity FROM documents",
     "revision_ids": """SELECT doc_id, CASE WHEN coalesce(arxiv_version, '') <> '' THEN work_id || '@' || arxiv_version ELSE work_id END AS revision, '{"id":"' || work_id || '","rev":"' || arxiv_version || '"}' AS span FROM documents""",
     "fetched_times": "SELECT doc_id, epoch_us(TRY_CAST(fetched_at AS TIMESTAMPTZ)) AS fetched_us FROM documents",
+    "all_formula_atoms": r"SELECT doc_id, place, array_to_string(regexp_extract_all(f, '\\[A-Za-z]+|\\.|[0-9]+|[^\s]'), ' ') AS atoms FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\$([^$]*)\$', 1)) AS f, generate_subscripts(regexp_extract_all(text, '\$([^$]*)\$', 1), 1) AS place FROM documents) WHERE f <> ''",
     "formula_atoms": r"SELECT doc_id, array_to_string(regexp_extract_all(f, '\\[A-Za-z]+|\\.|[0-9]+|[^\s]'), ' ') AS atoms FROM (SELECT doc_id, regexp_extract(text, '\$([^$]*)\$', 1) AS f FROM documents) WHERE f <> ''",
     "json_fields": """WITH p AS (SELECT paper_id, max(authors) AS a, from_json(max(categories), '["VARCHAR"]') AS c FROM paper_metadata GROUP BY 1)
  SELECT paper_id, coalesce(json_array_length(a), 0)::BIGINT AS n_authors, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ', ') AS cats FROM p""",

@@ -58,3 +58,21 @@ def test_hashed_embeddings_reads_every_document(spark, small):
         want |= {(k, items[j][0], s[j], n) for n, j in enumerate(sorted(range(len(items)), key=lambda j: (-s[j], j))[:3], 1)}
     got = [tuple(r) for r in QUERIES["hashed_embeddings"](spark, small).select("doc_id", "item_id", "score", "rank").collect()]
     assert len(got) == len(set(got)) and {*got} == want
+
+
+def test_every_formula_of_every_body(spark, tmp_path):
+    one, far = [1.0, 0.0], [0.5, 0.5]
+    chunks = [("s", "first $b+c$, then $a = 1$ and $x$", one, None), ("p", "so $z^2$ gives $a = 1$", None, far), ("n", "$a = 1$", None, None), ("e", "none", one, None)]
+    chunks += chunks[:1] + [(f"k{i:03d}", "$q r s$ $t$", one, None) for i in range(150)]
+    spark.createDataFrame(chunks, "chunk_id string, body_text string, embedding_stmt array<float>, embedding_proof array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.createDataFrame([(0, one)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(1, "$a b$ $a b$ $a c$"), (2, "$x$"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    trees = {(r["id"], r["place"]) for r in QUERIES["formula_trees"](spark, str(tmp_path)).collect()}
+    assert {x for x in trees if len(x[0]) == 1} == {("s", 1), ("s", 2), ("s", 3), ("p", 1), ("p", 2)} and len(trees) == 305
+    got = {(r["query"], r["id"], r["place"]): r for r in QUERIES["find_equation"](spark, str(tmp_path)).collect()}
+    assert got[3, "s", 2]["ted"] == 0 and got[3, "s", 2]["rank"] == 1 and got[3, "p", 2]["ted"] == 0
+    fidelity = {(r["doc_id"], r["place"]): r["f1"] for r in QUERIES["formula_fidelity"](spark, str(tmp_path)).collect()}
+    assert fidelity == {(1, 1): 1.0, (1, 2): 0.5}
+    atoms = {(r["doc_id"], r["place"]): r["atoms"] for r in QUERIES["all_formula_atoms"](spark, str(tmp_path)).collect()}
+    assert atoms == {(1, 1): "a b", (1, 2): "a b", (1, 3): "a c", (2, 1): "x"}
