@@ -52,11 +52,15 @@ def _prepare(size: int, least_words: int):
         for batch in batches:
             for part in charfold.slices(batch, 2):
                 w = words(part.column(2))
-                long = np.flatnonzero(np.diff(w.offs) >= max(least_words, size))
+                n = np.diff(w.offs)
+                wordless = _wordless(part.column(2), np.flatnonzero(n == 0)) if least_words <= 1 else {}
+                long = np.flatnonzero(n >= max(least_words, 1))
+                if wordless:
+                    long = np.sort(np.concatenate((long, np.array([*wordless], np.int64))))
                 if not long.size:
                     continue
                 w = rows(w, long)
-                s = distinct(shingles(w, size))
+                s = distinct(_sets(w, size, [wordless[i] for i in sorted(wordless)]))
                 scopes = part.column(0).dictionary_encode()  # few: hashed once each
                 scope = mix(np.array([hash_text(x) for x in scopes.dictionary.to_pylist()] + [hash_text(None)], np.uint64))[scopes.indices.fill_null(-1).to_numpy(zero_copy_only=False)][long]
                 m = min_hashes(s)
@@ -77,6 +81,30 @@ def _prepare(size: int, least_words: int):
     return run
 
 
+def _wordless(texts: pa.Array, at: np.ndarray) -> dict[int, int]:
+    """Row to a hash of its folded text, for those of the rows ``at`` that hold more than spaces."""
+    folded = charfold.fold_strings(texts.take(pa.array(at))).to_pylist()
+    squeezed = {int(i): " ".join(x.lower().split()) for i, x in zip(at, folded) if x is not None}
+    return {i: hash_text(x) for i, x in squeezed.items() if x}
+
+
+def _sets(w: Words, size: int, wordless: list[int]) -> Words:
+    """The shingles of each row; one of fewer words has all its words, one without words its text as the only shingle.
+
+    ``wordless``: the hashes of the texts of the rows without words, in order.
+    """
+    s, n = shingles(w, size), np.diff(w.offs)
+    short = n < size
+    if not short.any():
+        return s
+    whole = mix(n[short].astype(np.uint64) ^ np.uint64(0x5348_4F52_5400))  # a salt: no shingle of long texts is the same
+    for k in range(size - 1):
+        has = n[short] > k
+        whole[has] = mix(whole[has] ^ w.hashes[w.offs[:-1][short][has] + k])
+    whole[n[short] == 0] ^= np.array(wordless, np.uint64)
+    return Words(np.insert(s.hashes, s.offs[:-1][short], whole), s.offs + np.concatenate(([0], np.cumsum(short))))
+
+
 def hash_text(x: str | None) -> int:
     out = 14695981039346656037
     for c in (x or "").encode():
@@ -253,13 +281,16 @@ def _overlaps(similarity: float):
 class NearDuplicates:
     """Near-duplicate texts of a table, each scope (record set) by itself.
 
-    ``members``: (scope, key, id) of every key whose text has ``least_words`` words; equal sets share an id.
+    ``members``: (scope, key, id) of every key whose text has ``least_words`` words, with 1 also of texts of other characters
+    only; equal sets share an id. A text with fewer words than a shingle is one shingle.
     ``links``: (a, b) ids of different sets whose similarity (shared shingles over all shingles of both) reaches the
-    threshold. Null keys and texts and shorter texts take no part; repeated rows count once.
+    threshold. Null keys and texts and shorter texts take no part in pairs; repeated rows count once.
     """
 
     def __init__(self, df: DataFrame, scope: str, key: str, text: str, size: int = 5, similarity: float = 0.8, least_words: int = 1):
-        given = df.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+        keyed = df.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL")
+        given = keyed.where("text IS NOT NULL")
+        self.keys = keyed.select("scope", "key").distinct() if least_words <= 1 else None
         made = materialize(given.mapInArrow(_prepare(size, least_words), "scope string, key string, id long, hi long, lo long, bands array<long>, blob binary"))
         self.members = materialize(made.select("scope", "key", "id").distinct())
         sets = made.select("id", "hi", "lo", "bands").groupBy("id").agg(*(F.first(c).alias(c) for c in ("hi", "lo", "bands")))
@@ -281,7 +312,8 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         """(scope, key, class_id, links): one row a key; the class is the least key linked directly or over others.
 
-        ``links``: other keys that are nearly the same text, copies included.
+        ``links``: other keys that are nearly the same text, copies included. With ``least_words`` 1 every key has a row: one
+        of which all texts are null or blank is a class of its own with 0 links.
         """
         m = self.members
         sized = m.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -290,7 +322,12 @@ class NearDuplicates:
         part = components(self.links.union(m.select("id", "id"))).toDF("id", "part")
         all_ = m.join(part, "id").join(sized, "id").join(more, "id", "left")
         least = all_.groupBy("part").agg(F.min("key").alias("class_id"))
-        return all_.join(least, "part").select("scope", "key", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+        out = all_.join(least, "part").select("scope", "key", "class_id", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+        if self.keys is None:
+            return out
+        same = F.col("m.scope").eqNullSafe(F.col("k.scope")) & (F.col("m.key") == F.col("k.key"))
+        blank = self.keys.alias("k").join(m.alias("m"), same, "left_anti").select("scope", "key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("links"))
+        return out.unionByName(blank)
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
