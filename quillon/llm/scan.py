@@ -21,6 +21,8 @@ from quillon.session import broadcast_if_small, materialize
 
 #: Bounds of what is trained on: lines, words, hyphenated words. Everything else covers all rows.
 TRAIN_LINES, TRAIN_WORDS = 20_000, 2_000
+#: Words of born-digital text up to which a word counts as printed by the number of times it is seen.
+PRINTED_WORDS = 2_000_000
 #: Misread words that may be broadcast (some 20 MB); more are joined by shuffle.
 MOST_FIXES = 200_000
 # Marks of a word broken at a line end.
@@ -344,6 +346,12 @@ class Scan:
                     train.append((f, kind))
         return AveragedPerceptron(["text", "header", "page_no"]).fit(train)
 
+    def _printed(self, least: int) -> DataFrame:
+        """Words of the born-digital rows that may be taught as printed: seen ``least`` times, in a corpus of more than
+        PRINTED_WORDS words in proportion, so that a rare wrong form isn't taught where there is more text."""
+        total = self.words.agg(F.sum("digital")).head()[0] or 0
+        return self.words.where(F.col("digital") >= least * max(1.0, total / PRINTED_WORDS))
+
     def _counted(self, table: DataFrame, column: str, digital: str, scanned: str) -> DataFrame:
         known = self.words.select(F.col("word").alias(column), F.col("digital").alias(digital), F.col("scanned").alias(scanned))
         return table.join(known, column, "left").na.fill(0, [digital, scanned])
@@ -358,7 +366,7 @@ class Scan:
     def _marks(self) -> DataFrame:
         """The marks at line ends that are deleted: (chunk_id, char_start, word, cut, left)."""
         train = []
-        chosen = sample(self.words.where("digital >= 5 AND length(word) > 5"), "word", TRAIN_WORDS)
+        chosen = sample(self._printed(5).where("length(word) > 5"), "word", TRAIN_WORDS)
         parts = []
         for r in chosen.select("word").collect():
             w = r["word"]
@@ -389,7 +397,7 @@ class Scan:
     def _fixes(self) -> DataFrame:
         """(word, fixed, places) of the distinct words that the character editor changes."""
         spark, pairs = self.words.sparkSession, []
-        chosen = sample(self.words.where("digital >= 10 AND length(word) > 2 AND NOT word RLIKE '[0-9-]'"), "word", TRAIN_WORDS)
+        chosen = sample(self._printed(10).where("length(word) > 2 AND NOT word RLIKE '[0-9-]'"), "word", TRAIN_WORDS)
         for r in chosen.select("word").collect():
             w = r["word"]
             wrong = spoil(w, hash_of(w) % len(w))
@@ -410,10 +418,8 @@ class Scan:
         model = AveragedPerceptron(["keep", "edit"]).fit(train).weights
         types = self.found.where("kind = 'word'").select("word").union(self.marks.select("word")).distinct()
         own = self._counted(types, "word", "digital", "scanned")
-        # a word seen often in born-digital text is as it was printed
-        doubtful = own.where("digital < 50 OR scanned > 20 * digital")
         known = self.words.select(F.col("word").alias("fixed"), F.col("digital").alias("fd"), F.col("scanned").alias("fs"))
-        tried = doubtful.select("word").mapInArrow(_repair_rows, "word string, fixed string, places array<int>, reads array<string>").join(known, "fixed").join(doubtful, "word")
+        tried = own.select("word").mapInArrow(_repair_rows, "word string, fixed string, places array<int>, reads array<string>").join(known, "fixed").join(own, "word")
         judged = tried.select("word", "digital", "scanned", "fixed", "fd", "fs", "places", "reads").mapInArrow(_judge(model), "word string, fixed string, places array<int>, score double")
         best = judged.groupBy("word").agg(F.max_by(F.struct("fixed", "places"), F.struct("score", "fixed")).alias("b")).select("word", "b.fixed", "b.places")
         # a digit among letters is misread even where no known word is near

@@ -1,7 +1,8 @@
 """Near-duplicate classes and scans where a bound would leave rows or words out."""
 
-from quillon.llm import neardup
+from quillon.llm import neardup, scan
 from tests.llm.helpers import crowded
+from tests.llm.test_algorithms import book
 
 
 def test_every_key_has_a_class(spark):
@@ -12,3 +13,19 @@ def test_every_key_has_a_class(spark):
     got = [(r["key"], r["class_id"], r["links"]) for r in neardup.NearDuplicates(df, "scope", "key", "text").classes().collect()]
     want = [("l1", "l1", 1), ("l2", "l1", 1), ("a", "a", 2), ("b", "a", 2), ("r", "a", 2), ("c", "c", 0), ("four", "four", 0), ("zh1", "zh1", 1), ("zh2", "zh1", 1), ("zh3", "zh3", 0), ("p1", "p1", 1), ("p2", "p1", 1), ("p3", "p3", 0)]
     assert sorted(got) == sorted(want + [(k, k, 0) for k in ("n1", "n2", "e", "s")])
+
+
+def test_wrong_forms_that_born_digital_text_holds_are_judged(spark):
+    """Fifty places in born-digital text exempt no word in a corpus in which its repair is far more common."""
+    clean, scanned, _ = book(3)
+    data = [(k, t, s, None, None) for k, t, s in clean] + [(k, t, s, p, p + 1) for k, t, s, p in scanned]
+    data += [(f"f{i}", "for " * 400, False, None, None) for i in range(100)] + [("t", "tor " * 60, False, None, None), ("x", "we write it tor all of them\nand for some", True, 5, 6)]
+    df = spark.createDataFrame(data, "chunk_id string, body_text string, scanned boolean, page_start int, page_end int").selectExpr("*", "'b' AS book")
+    kept, scan.PRINTED_WORDS = scan.PRINTED_WORDS, 2_000
+    try:
+        s = scan.Scan(df, "chunk_id", "body_text", "scanned", "book", "page_start", "page_end")
+    finally:
+        scan.PRINTED_WORDS = kept
+    fixes = {r["word"]: r["fixed"] for r in s.fixes.collect()}
+    assert fixes.get("tor") == "for" and "for" not in fixes
+    assert ("x", 12, "misread") in {tuple(r) for r in s.defects.collect()}
