@@ -45,8 +45,8 @@ def histogram_quantile(buckets: DataFrame, group: list[str], q: float) -> DataFr
 
 
 def counter_pivot(counts: DataFrame, row: str, column: str, value: str, rows: list[str], columns: list[str]) -> DataFrame:
-    """Sums of ``value`` by row and column, zero-filled for the listed rows and columns."""
-    base = counts.sparkSession.createDataFrame([(r,) for r in rows], f"{row} string")
+    """Sums of ``value`` by row and column, zero-filled for the listed columns, and for the listed rows and all of the table."""
+    base = counts.sparkSession.createDataFrame([(r,) for r in rows], f"{row} string").union(counts.select(row)).where(F.col(row).isNotNull()).distinct()
     sums = counts.groupBy(row).pivot(column, columns).agg(F.sum(value))
     return base.join(sums, row, "left").na.fill(0, columns)
 

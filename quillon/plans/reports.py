@@ -49,6 +49,12 @@ def latency_quantiles(spark, sf):
 
 
 def counter_pivot(spark, sf):
+    """The rows of two slugs, as the SQL says; ``all_counter_pivot`` has those of all."""
+    return all_counter_pivot(spark, sf).where(F.col("slug").isin("ninuvi0000", "nothing"))
+
+
+def all_counter_pivot(spark, sf):
+    """Runs by slug and status, zero-filled for the two listed slugs and all of the table."""
     runs = table(spark, sf, "notebook_ingest_runs").select("id", "slug", "status").distinct().withColumn("one", F.lit(1).cast("long"))
     out = reports.counter_pivot(runs, "slug", "status", "one", ["ninuvi0000", "nothing"], ["succeeded", "failed", "running"])
     return out.select("slug", *(F.col(c).cast("long").alias(c) for c in ("succeeded", "failed", "running")))
@@ -189,13 +195,14 @@ def events_sessions(spark, sf):
 _D = "d AS (SELECT lang AS query, doc_id AS id, n_chars::DOUBLE AS score, license_status FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL), r AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM d) WHERE rank <= 20), t AS (SELECT query, id, floor(score / 300)::BIGINT % 4 AS grade FROM d WHERE license_status = 'known'), m AS (SELECT r.query, sum(CASE WHEN rank <= 5 THEN coalesce(grade, 0) / log2(rank + 1) ELSE 0 END) AS dcg, count_if(rank <= 10 AND coalesce(grade, 0) >= 3) AS hits FROM r LEFT JOIN t USING (query, id) GROUP BY 1), i AS (SELECT query, sum(CASE WHEN p <= 5 THEN grade / log2(p + 1) ELSE 0 END) AS idcg, count_if(grade >= 3) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, id) AS p FROM t) GROUP BY 1), f AS (SELECT coalesce(m.query, i.query) AS query, CASE WHEN coalesce(idcg, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(dcg, 0) / idcg END AS ndcg, CASE WHEN coalesce(rel, 0) = 0 THEN 0.0::DOUBLE ELSE coalesce(hits, 0)::DOUBLE / rel END AS recall FROM m FULL JOIN i ON m.query = i.query)"
 _EDGES = "(0.5), (1.0), (2.0), (5.0), (10.0), (20.0), (50.0), ('Infinity'::DOUBLE)"
 
-QUERIES = {f.__name__: f for f in (ndcg_recall, mean_metrics, eval_regression, hist_quantile, latency_quantiles, counter_pivot, hit_rate, failure_top, iso_week, license_census, id_shape_census, coverage_rate, count_divergence, row_digest, health_fold, latest_runs, rate_limit_offered, rate_limit_accepted, carry_forward_label, section_counter, disk_hysteresis, canonical_turn_ids, byte_cap_prefix, packed_blocks, fixed_windows, events_tumbling, events_sliding, events_sessions)}
+QUERIES = {f.__name__: f for f in (ndcg_recall, mean_metrics, eval_regression, hist_quantile, latency_quantiles, counter_pivot, all_counter_pivot, hit_rate, failure_top, iso_week, license_census, id_shape_census, coverage_rate, count_divergence, row_digest, health_fold, latest_runs, rate_limit_offered, rate_limit_accepted, carry_forward_label, section_counter, disk_hysteresis, canonical_turn_ids, byte_cap_prefix, packed_blocks, fixed_windows, events_tumbling, events_sliding, events_sessions)}
 ORACLE_SQL = {
     "ndcg_recall": f"WITH {_D} SELECT query, round(ndcg, 6) AS ndcg, round(recall, 6) AS recall FROM f",
     "mean_metrics": f"WITH {_D} SELECT round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall, round(quantile_cont(ndcg, 0.95), 6) AS p95 FROM f",
     "eval_regression": "WITH e AS (SELECT dayofyear(ts) AS version, round(avg(value), 6) AS score FROM events GROUP BY 1), l AS (SELECT *, lag(score) OVER (ORDER BY version) AS b FROM e) SELECT version, score, round(CASE WHEN b > 0 THEN (b - score) / b * 100 END, 4) AS drop_pct, coalesce(b > 0 AND (b - score) / b * 100 > 3, false) AS alert FROM l",
     "hist_quantile": f"WITH b AS (SELECT event_type, le, count_if(value <= le) AS c FROM events, (VALUES {_EDGES}) v(le) GROUP BY 1, 2), w AS (SELECT *, lag(c, 1, 0) OVER (PARTITION BY event_type ORDER BY le) AS below, lag(le, 1, 0.0::DOUBLE) OVER (PARTITION BY event_type ORDER BY le) AS lo, max(c) OVER (PARTITION BY event_type) AS total FROM b), q AS (SELECT * FROM (VALUES (0.5::DOUBLE), (0.95), (0.99)) v(q)) SELECT event_type, q, round(CASE WHEN le = 'Infinity'::DOUBLE THEN lo ELSE lo + (le - lo) * (q * total - below) / (c - below) END, 6) AS quantile FROM w, q WHERE c >= q * total AND below < q * total",
     "latency_quantiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
+    "all_counter_pivot": "WITH r AS (SELECT DISTINCT id, slug, status FROM notebook_ingest_runs), s AS (SELECT slug FROM r WHERE slug IS NOT NULL UNION SELECT 'ninuvi0000' UNION SELECT 'nothing') SELECT s.slug, coalesce(sum((status = 'succeeded')::INT), 0)::BIGINT AS succeeded, coalesce(sum((status = 'failed')::INT), 0)::BIGINT AS failed, coalesce(sum((status = 'running')::INT), 0)::BIGINT AS running FROM s LEFT JOIN r USING (slug) GROUP BY 1",
     "counter_pivot": "WITH r AS (SELECT DISTINCT id, slug, status FROM notebook_ingest_runs) SELECT s.slug, coalesce(sum((status = 'succeeded')::INT), 0)::BIGINT AS succeeded, coalesce(sum((status = 'failed')::INT), 0)::BIGINT AS failed, coalesce(sum((status = 'running')::INT), 0)::BIGINT AS running FROM (VALUES ('ninuvi0000'), ('nothing')) s(slug) LEFT JOIN r ON r.slug = s.slug GROUP BY 1",
     "hit_rate": "SELECT user_id, count_if(event_type = 'purchase')::BIGINT AS hits, count_if(event_type = 'view')::BIGINT AS lookups, round(CASE WHEN count_if(event_type = 'view') > 0 THEN count_if(event_type = 'purchase')::DOUBLE / count_if(event_type = 'view') END, 6) AS rate FROM events GROUP BY 1",
     "failure_top": "WITH r AS (SELECT exit_code::BIGINT AS stage, coalesce(stderr_tail, '') AS reason, count(*) AS n FROM (SELECT id, any_value(exit_code) AS exit_code, any_value(stderr_tail) AS stderr_tail FROM notebook_ingest_runs WHERE status = 'failed' GROUP BY 1) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY n DESC, reason) AS place FROM r) WHERE place <= 10",

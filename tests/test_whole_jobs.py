@@ -76,3 +76,11 @@ def test_every_formula_of_every_body(spark, tmp_path):
     assert fidelity == {(1, 1): 1.0, (1, 2): 0.5}
     atoms = {(r["doc_id"], r["place"]): r["atoms"] for r in QUERIES["all_formula_atoms"](spark, str(tmp_path)).collect()}
     assert atoms == {(1, 1): "a b", (1, 2): "a b", (1, 3): "a c", (2, 1): "x"}
+
+
+def test_counter_pivot_has_every_slug(spark, small):
+    runs = set(read(spark, small, "notebook_ingest_runs", "id", "slug", "status"))
+    got = {r["slug"]: r["succeeded"] + r["failed"] + r["running"] for r in QUERIES["all_counter_pivot"](spark, small).collect()}
+    slugs = {s for _, s, _ in runs}
+    assert None not in slugs and set(got) == slugs | {"ninuvi0000", "nothing"} and got["nothing"] == 0
+    assert sum(got.values()) == len(runs)
