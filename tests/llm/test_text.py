@@ -137,12 +137,35 @@ def test_pieces(spark):
     data += [("n", None), ("e", ""), ("s", "x" * 1200), ("l", "x" * 5000), ("w", " " * 6000), (None, "y" * 3000), data[0]]
     df = crowded(spark.createDataFrame(data, "chunk_id string, body_text string"))
     want = {(k, i + 1, *p) for k, t in data if k and t and len(t) > 1200 for i, p in enumerate(cut(t))}
-    for width in (pieces.RANGE, 2400, 3001):
-        got = rows(pieces.split_pieces(df, width=width))
+    for width, fan in ((pieces.RANGE, pieces.FAN), (90, 4), (3001, 2)):
+        pieces.FAN, kept = fan, pieces.FAN
+        try:
+            got = rows(pieces.split_pieces(df, width=width))
+        finally:
+            pieces.FAN = kept
         assert len(got) == len(set(got)) and set(got) == want
     assert pieces.split_pieces(df.limit(0)).count() == 0
 
 
+def test_pieces_of_files(spark, tmp_path):
+    """Files in byte ranges that cut characters, runs of white space longer than a halo, one very long line."""
+    random.seed(6)
+    bits = ["word ", "a ", "$x y$ ", "$ ", "end. ", "\n\n", "é中𝒳", "x" * 30, " " * 40]
+    texts = {"a.txt": "".join(random.choice(bits) for _ in range(4000)), "b.txt": "中" * 9000, "c.txt": "one. " + "\n" + " " * 7000 + "two " * 900, "d.txt": "", "e.txt": "short", "f.txt": "word. and $x$ more " * 20_000}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    want = {(name, i + 1, *p) for name, t in texts.items() if len(t) > 1200 and name != "f.txt" for i, p in enumerate(cut(t))}
+    body = spark.createDataFrame([("f.txt", texts["f.txt"])], "chunk_id string, body_text string")
+    want |= {tuple(r) for r in pieces.split_pieces(body).collect()}
+    for width, fan in ((1001, 3), (50_000, 64)):
+        pieces.FAN, kept = fan, pieces.FAN
+        try:
+            got = [(r[0].rsplit("/", 1)[1], *r[1:]) for r in pieces.split_files(spark, str(tmp_path), width=width).collect()]
+        finally:
+            pieces.FAN = kept
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 SENTENCES = [
     ["Remarks on x", "\n\n", "See Fig. 4 and Dr. Brovsk, e.g. here.", " ", "It holds."],
     ["The remark \"is it graded?\" appears twice.", " ", "He wrote: \"It is so.\"", " ", "The end?!"],
