@@ -1,12 +1,15 @@
 """Problem 3: the most similar vectors of every vector.
 
-NN-descent on Spark: a first neighbour graph comes from cross-polytope hash buckets; then every round lets the vectors
-that share a neighbour meet at that neighbour, compares them there, and keeps improvements, until a round improves
-next to nothing. New query vectors are answered by greedy search on the graph.
+NN-descent on Spark. The start is sparse: the nearest of one hash bucket, and random meetings that are no links. In every
+round the vectors that are neighbours of one vector, or have it for a neighbour, meet there; pairs of which one is new there
+are compared, and better links take the place of worse ones, until next to no link is new. Vectors travel as 8-bit
+numbers; the links that count are compared again by 16-bit ones. New vectors are answered by greedy search on the graph.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,14 +18,20 @@ from pyspark.sql.window import Window as W
 
 from quillon.session import materialize
 
-#: Neighbours kept of each vector while the graph is built, hash tables, vectors of a bucket compared at once.
-KEEP, TABLES, WINDOW = 8, 8, 512
-#: Vectors of a bucket that the tables aim at, and vectors of a block of one round.
-BUCKET, BLOCK = 32, 8192
+#: Neighbours kept of each vector while the graph is built, and vectors sampled of those that have it for a neighbour.
+KEEP, REVERSE = 16, 16
+#: Before the first round each vector visits so many random blocks, and so many random vectors in each.
+VISITS, MEETINGS = 3, 10
+#: Vectors of a bucket that the hash aims at, vectors of a bucket compared at once, vectors of a block of one round.
+BUCKET, WINDOW, BLOCK = 32, 512, 8192
+#: Better links of one vector that one block of a round sends on; what it finds beyond them is found again later.
+SENT = 12
 #: The rounds end when fewer than this share of all links is new, or after so many.
-SETTLED, MOST_ROUNDS = 0.02, 6
+SETTLED, MOST_ROUNDS = 0.001, 15
 #: Vectors are kept as unit vectors of 16-bit numbers: cosines are exact to about 1e-5, equal vectors stay equal.
 SCALE = 32767
+#: Cosines of 8-bit vectors are at most so far off.
+COARSE = 0.01
 
 
 def unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,76 +48,90 @@ def unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[ok], np.rint(x * SCALE).astype(np.int16)
 
 
+def coarse(q: np.ndarray) -> np.ndarray:
+    """16-bit vectors as 8-bit ones, each with its largest entry at 127."""
+    big = np.maximum(1, np.abs(q.astype(np.int32)).max(1, initial=0))
+    return np.rint(q * (127 / big)[:, None]).astype(np.int8)
+
+
 class Hasher:
-    """Cross-polytope hashes: the nearest of the signed axes after a random rotation, digit by digit."""
+    """A cross-polytope hash: the nearest of the signed axes after a random rotation, digit by digit."""
 
-    def __init__(self, dim: int, rows: int, tables: int = TABLES, seed: int = 7):
+    def __init__(self, dim: int, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
-        need, self.digits = max(2, rows // BUCKET), []
+        need, digits = max(2, rows // BUCKET), []
         while need > 1:
-            self.digits.append(min(dim, max(1, -(-need // 2))))
-            need //= 2 * self.digits[-1]
-        self.tables = tables + 2 * max(0, len(self.digits) - 2)
-        turn = lambda: np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-        self.turns = [[turn() for _ in self.digits] for _ in range(self.tables)]
-        self.lines = [rng.standard_normal(dim) for _ in range(self.tables)]
-
-    def codes(self, q: np.ndarray, space: np.ndarray, tables: int | None = None) -> np.ndarray:
-        """A row for each vector, a number for each table: table, space, digits; then a place in the bucket, 16 bits."""
-        x, tables = q / SCALE, tables or self.tables
-        out = np.empty((len(q), tables), np.int64)
-        for t in range(tables):
-            code = np.int64(t) * 16 + space
-            digits = np.zeros(len(q), np.int64)
-            for turn, width in zip(self.turns[t], self.digits):
-                y = x @ turn[:, :width]
-                at = np.abs(y).argmax(1)
-                digits = digits * (2 * width) + 2 * at + (y[np.arange(len(q)), at] > 0)
-            place = np.clip((x @ self.lines[t]) * 8000 + 32768, 0, 65535).astype(np.int64)
-            out[:, t] = (((code << 32) | (digits & 0xFFFFFFFF)) << 16) | place
-        return out
+            digits.append(min(dim, max(1, -(-need // 2))))
+            need //= 2 * digits[-1]
+        self.turns = [(np.linalg.qr(rng.standard_normal((dim, dim)))[0], width) for width in digits]
+        self.line = rng.standard_normal(dim)
+
+    def codes(self, q: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """A number for each vector: space, digits; then a place in the bucket, 16 bits."""
+        x, digits = q / SCALE, np.zeros(len(q), np.int64)
+        for turn, width in self.turns:
+            y = x @ turn[:, :width]
+            at = np.abs(y).argmax(1)
+            digits = digits * (2 * width) + 2 * at + (y[np.arange(len(q)), at] > 0)
+        place = np.clip((x @ self.line) * 8000 + 32768, 0, 65535).astype(np.int64)
+        return (((space << 32) | (digits & 0xFFFFFFFF)) << 16) | place
 
 
 def _binary(q: np.ndarray) -> pa.Array:
     n, width = q.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 2 * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(q).tobytes())])
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * q.itemsize * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(q).tobytes())])
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    """Exact integers in doubles: their products sum exactly, in whatever order."""
+def _matrix(column: pa.Array, dim: int, kind=np.int16) -> np.ndarray:
+    """Exact integers in doubles (their products sum exactly, in whatever order), or floats if they are of 8 bits."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    to, wide = (np.float64, 2) if kind == np.int16 else (np.float32, 1)
     if not len(column):
-        return np.zeros((0, dim))
+        return np.zeros((0, dim), to)
     offs = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.int16, offset=int(offs[0]), count=int(offs[-1] - offs[0]) // 2).reshape(-1, dim).astype(np.float64)
+    return np.frombuffer(column.buffers()[2], kind, offset=int(offs[0]), count=int(offs[-1] - offs[0]) // wide).reshape(-1, dim).astype(to)
+
 
+def _coarse(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """8-bit vectors as whole numbers (their products sum exactly, so a pair has the same cosine wherever it meets), and 1 / length."""
+    x = _matrix(column, dim, np.int8).astype(np.float32 if dim * 127**2 < 1 << 24 else np.float64)
+    return x, (1 / np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(1)), 1)).astype(np.float32)
 
-def _longs(x: np.ndarray) -> pa.Array:
-    n, width = x.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * width, width), pa.int32()), pa.array(np.ascontiguousarray(x).reshape(-1)))
 
+class Links(NamedTuple):
+    """Columns of found links: of u, to v, which lives in block pv."""
 
-def best(s: np.ndarray, keep: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``keep`` largest entries of each row that reach ``floor``."""
-    if s.shape[1] > keep:
-        cols = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-        rows = np.repeat(np.arange(len(s)), keep)
-        cols = cols.reshape(-1)
-    else:
-        rows, cols = (x.reshape(-1) for x in np.indices(s.shape))
-    ok = s[rows, cols] >= floor
-    return rows[ok], cols[ok]
+    u: np.ndarray
+    v: np.ndarray
+    pv: np.ndarray
+    sim: np.ndarray
 
+    def table(self):
+        return pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.v, pa.int64()), pa.array(self.pv, pa.int32()), pa.array(self.sim, pa.float32())], names=["u", "v", "pv", "sim"])
 
-_LINK = "u long, v long, pv int, sim double"
 
+_LINK = "u long, v long, pv int, sim float"
+_NONE = Links(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
 
-def _bucket_links(dim: int, keep: int, floor: float):
-    """Batches sorted by code to links of the vectors of each bucket; a large bucket in overlapping windows of its order."""
 
-    def links(code, ids, p, x):
-        norm = np.sqrt((x * x).sum(1))
+def best(links: Links, keep: int) -> Links:
+    """The ``keep`` most similar links of each u, each v once."""
+    order = np.lexsort((links.v, links.u))
+    u, v = links.u[order], links.v[order]
+    once = np.ones(len(u), bool)
+    once[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    links = Links(*(c[order][once] for c in links))
+    order = np.lexsort((links.v, -links.sim, links.u))
+    u = links.u[order]
+    top = order[np.arange(len(u)) - np.searchsorted(u, u) < keep]
+    return Links(*(c[top] for c in links))
+
+
+def _bucket_links(dim: int, keep: int):
+    """Batches sorted by code to links of the vectors of each bucket; a bucket over WINDOW in overlapping windows of its order."""
+
+    def links(code, ids, p, x, short):
         cut = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
         out = []
         for a, b in zip(cut[:-1], cut[1:]):
@@ -116,84 +139,92 @@ def _bucket_links(dim: int, keep: int, floor: float):
                 hi = min(b, lo + WINDOW)
                 if hi - lo < 2:
                     continue
-                s = (x[lo:hi] @ x[lo:hi].T) / (norm[lo:hi, None] * norm[None, lo:hi])
+                s = (x[lo:hi] @ x[lo:hi].T) * (short[lo:hi, None] * short[None, lo:hi])
                 np.fill_diagonal(s, -2)
-                i, j = best(s, keep, floor)
+                k = min(keep, hi - lo - 1)
+                j = np.argpartition(-s, k - 1, axis=1)[:, :k].reshape(-1)
+                i = np.repeat(np.arange(hi - lo), k)
                 out.append((i + lo, j + lo, s[i, j]))
         if not out:
-            return None
+            return _NONE
         i, j, s = (np.concatenate(c) for c in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(p[j]), pa.array(s)], names=["u", "v", "pv", "sim"])
+        return best(Links(ids[i], ids[j], p[j], s), keep)
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             if b.num_rows:
-                held.append((b.column(0).to_numpy() >> 16, b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dim)))
+                held.append((b.column(0).to_numpy() >> 16, b.column(1).to_numpy(), b.column(2).to_numpy(), *_coarse(b.column(3), dim)))
                 size += b.num_rows
             if size >= 20_000:
                 cols = [np.concatenate(c) for c in zip(*held)]
+                # the last bucket waits for its rest; one that is larger than that goes on from its last window
                 last = int(np.searchsorted(cols[0], cols[0][-1]))
-                if size - last > 10_000:  # a bucket without end: windows of what is there, the rest overlaps
-                    last = size - WINDOW // 2
-                if (out := links(*(c[: last + (WINDOW // 2 if last < size else 0)] if last == size - WINDOW // 2 else c[:last] for c in cols))) is not None:
-                    yield out
+                upto = last if size - last <= 10_000 else size
+                last = last if upto < size else size - WINDOW // 2
+                yield links(*(c[:upto] for c in cols)).table()
                 held, size = [tuple(c[last:] for c in cols)], size - last
-        if held and (out := links(*(np.concatenate(c) for c in zip(*held)))) is not None:
-            yield out
+        if held:
+            yield links(*(np.concatenate(c) for c in zip(*held))).table()
 
     return run
 
 
 def _meet(dim: int, keep: int, floor: float):
-    """One block of a round: vectors that share a neighbour of this block are compared. Emits links that are new and better."""
+    """One block of a round: the vectors that belong to each centre of the block are compared, pairs of two old ones aside.
+
+    Rows: (p, u, pu, q, least, centres, fresh, h, known): a vector, the similarity it has to beat, the centres it belongs
+    to, and hashes of itself and of the links it has, which aren't sent again. A centre belongs to itself. Memory: the vectors of the block and what was sent to it, which sampling bounds.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, least = (table.column(c).to_numpy() for c in ("u", "pu", "least"))
-        x = _matrix(table.column("q"), dim)
-        norm = np.sqrt((x * x).sum(1))
-        lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (table.column("vs"), table.column("ps"))]
-        n = lists[0].value_lengths().to_numpy(zero_copy_only=False)
-        vs, ps = (c.flatten().to_numpy() for c in lists)
+        ids, own, least, h = (table.column(c).to_numpy() for c in ("u", "pu", "least", "h"))
+        lists = table.column("known").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        known, row = np.zeros((len(ids), max(1, n.max(initial=0))), np.int64), np.repeat(np.arange(len(ids)), n)
+        known[:] = 1 << 40  # no hash
+        known[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy(zero_copy_only=False)
+        x, short = _coarse(table.column("q"), dim)
+        lists = table.column("centres").combine_chunks()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        centre = lists.flatten().to_numpy(zero_copy_only=False)
+        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         member = np.repeat(np.arange(len(ids)), n)
-        here = ps == table.column("p")[0].as_py()
-        center, m = vs[here], member[here]
-        # a centre meets its own neighbours too, where it is among the rows
-        order_ids = np.argsort(ids, kind="stable")
-        at = np.minimum(np.searchsorted(ids[order_ids], np.unique(center)), len(ids) - 1)
-        cs = np.unique(center)
-        inside = ids[order_ids][at] == cs
-        center, m = np.concatenate([center, cs[inside]]), np.concatenate([m, order_ids[at[inside]]])
-        order = np.argsort(center, kind="stable")
-        center, m = center[order], m[order]
-        cut = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1], [True])))
-        got_u, got_v, got_s = [], [], []
-        for a, b in zip(cut[:-1], cut[1:]):
-            if b - a < 3:
-                continue
-            for i in range(a, b, 1024):  # a centre of very many vectors: in strips
-                for j in range(a, b, 1024):
-                    r, c = m[i : min(b, i + 1024)], m[j : min(b, j + 1024)]
-                    s = (x[r] @ x[c].T) / (norm[r, None] * norm[None, c])
-                    s[ids[r][:, None] == ids[c][None, :]] = -2
-                    k, l = best(s, keep, floor)
-                    ok = s[k, l] > least[r[k]]
-                    got_u.append(r[k[ok]]), got_v.append(c[l[ok]]), got_s.append(s[k[ok], l[ok]])
-        if not got_u:
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "pv": pa.array([], pa.int32()), "sim": pa.array([], pa.float64())})
-        u, v, s = np.concatenate(got_u), np.concatenate(got_v), np.concatenate(got_s)
-        pair = np.unique(u.astype(np.int64) * len(ids) + v, return_index=True)[1]
-        u, v, s = u[pair], v[pair], s[pair]
-        # links that u has already
-        known = np.stack([member, np.zeros_like(member)], 1).astype(np.int64)
-        known = set(zip(known[:, 0].tolist(), vs.tolist()))
-        fresh = np.fromiter(((a, b) not in known for a, b in zip(u.tolist(), ids[v].tolist())), bool, len(u))
-        u, v, s = u[fresh], v[fresh], s[fresh]
-        order = np.lexsort((-s, u))
-        u, v, s = u[order], v[order], s[order]
-        place = np.arange(len(u)) - np.searchsorted(u, u)
-        ok = place < keep
-        return pa.table({"u": ids[u[ok]], "v": ids[v[ok]], "pv": pa.array(own[v[ok]], pa.int32()), "sim": s[ok]})
+        order = np.lexsort((~fresh, member, centre))
+        centre, member, fresh = centre[order], member[order], fresh[order]
+        once = np.ones(len(centre), bool)
+        once[1:] = (centre[1:] != centre[:-1]) | (member[1:] != member[:-1])
+        centre, member, fresh = centre[once], member[once], fresh[once]
+        cut = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1], [True]))) if len(centre) else np.zeros(1, np.int64)
+        start, size = cut[:-1], np.diff(cut)
+        live = (np.add.reduceat(fresh, start, dtype=np.int64) > 0) & (size > 1) if len(start) else np.zeros(0, bool)
+        start, size = start[live], size[live]
+        order = np.argsort(size, kind="stable")
+        start, size, found, at = start[order], size[order], [], 0
+        while at < len(start):  # centres of about the same number of members at once
+            room = 4_000_000
+            to = at + 1
+            while to < len(start) and (to - at + 1) * int(size[to]) ** 2 <= room and (size[to] <= size[at] + 4 or to - at < 64):
+                to += 1
+            wide = int(size[to - 1])
+            slot = start[at:to, None] + np.arange(wide)
+            real = np.arange(wide) < size[at:to, None]
+            slot = np.where(real, slot, start[at:to, None])
+            m, new = member[slot], fresh[slot] & real
+            s = np.matmul(x[m], x[m].transpose(0, 2, 1)) * (short[m][:, :, None] * short[m][:, None, :])
+            ok = (s > least[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :]
+            if floor > -1:
+                ok &= s >= floor
+            c, i, j = np.nonzero(ok)
+            u, v = m[c, i], m[c, j]
+            other = np.flatnonzero(u != v)
+            other = other[~(known[u[other]] == h[v[other], None]).any(1)]
+            found.append(Links(u[other], v[other], own[v[other]], s[c[other], i[other], j[other]]))
+            if sum(len(f.u) for f in found) > 2_000_000:
+                found = [best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT))]
+            at = to
+        got = best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT)) if found else _NONE
+        return pa.Table.from_batches([Links(ids[got.u], ids[got.v], got.pv, got.sim).table()])
 
     return run
 
@@ -201,150 +232,199 @@ def _meet(dim: int, keep: int, floor: float):
 class NeighbourGraph:
     """The neighbour graph of a table of vectors, built by NN-descent.
 
-    ``vectors``: (id, p, q, space) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
-    the least KEEP of them; ``graph``: (u, pu, q, links) with links (sim, v, pv), best first.
+    ``vectors``: (id, p, q, c, space) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
+    the least KEEP of them; ``graph``: (u, pu, c, links) with links (far, v, pv, fresh), best first. ``shares``: the share
+    of new links of each round.
 
-    Null, zero, not finite and wrong-length vectors and null keys take no part. Repeated rows count once, equal vectors
-    are one node. Links below ``floor`` aren't kept. ``space``: a column that keeps tables apart (vectors of different
-    spaces are never compared).
+    Null, zero, not finite and wrong-length vectors and null keys take no part; ``dim`` None takes the most frequent length.
+    Repeated rows count once, equal vectors are one node. ``space``: a column that keeps tables apart (vectors of different
+    spaces are never linked). The rounds go on until the graph stands still; at a hub only a sample of those that have it for
+    a neighbour meets (new ones first), and a bucket over WINDOW begins with links within windows: no vector is left out,
+    the links that miss are found over other neighbours.
     """
 
-    def __init__(self, df: DataFrame, key: str, vector: str, space: str | None = None, keep: int = KEEP, floor: float = 0.75, tables: int = TABLES):
+    def __init__(self, df: DataFrame, key: str, vector: str, space: str | None = None, keep: int = KEEP, dim: int | None = None, rounds: int = MOST_ROUNDS):
         rows = df.select(F.col(key).cast("string").alias("key"), (F.col(space).cast("int") if space else F.lit(0)).alias("space"), F.col(vector).cast("array<float>").alias("vector")).where("key IS NOT NULL AND vector IS NOT NULL")
-        sized = rows.select(F.size("vector").alias("n")).where("n > 0").head()
-        self.dim, self.keep, self.floor = (sized["n"] if sized else 1), keep, floor
-        count = df.count()
-        self.hasher = Hasher(self.dim, count, tables)
-        blocks = max(8, -(-count // BLOCK))
-        dim, hasher = self.dim, self.hasher
+        sizes = rows.groupBy(F.size("vector").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect() if dim is None else []
+        self.dim, self.keep = dim or (sizes[0]["n"] if sizes else 1), keep
+        count = sizes[0]["count"] if sizes else rows.count()
+        self.hasher, self.blocks = Hasher(self.dim, count), max(8, -(-count // BLOCK))
+        dim_, hasher = self.dim, self.hasher
 
         def prepare(batches):
             for b in batches:
-                at, q = unit(b.column(2), dim)
+                at, q = unit(b.column(2), dim_)
                 if not at.size:
                     continue
                 take = pa.array(at)
                 space_ = b.column(1).take(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64), 1)[:, 0] >> 16)], names=["key", "space", "q", "bucket"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), _binary(coarse(q)), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "q", "c", "code"])
 
-        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, bucket long").withColumn("id", F.xxhash64("space", "q")))
+        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, c binary, code long").withColumn("id", F.xxhash64("space", "q")))
         self.members = made.select("id", "key").distinct()
-        distinct = materialize(made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "space", "bucket"))))
-        hot = distinct.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
+        distinct = made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "c", "space", "code")))
+        # a block is a set of whole buckets; a bucket of more than a block is spread
+        bucket = F.shiftright("code", 16)
+        hot = made.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
         split = F.when(F.col("n").isNotNull(), F.pmod("id", F.ceil(F.col("n") / BLOCK))).otherwise(0)
-        placed = distinct.join(hot, "bucket", "left")
-        self.vectors = placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(blocks)).cast("int").alias("p"), "q", "space")
+        placed = distinct.withColumn("bucket", bucket).join(hot, "bucket", "left")
+        self.vectors = materialize(placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(self.blocks)).cast("int").alias("p"), "q", "c", "space", "code"))
         first = self.members.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(f"n <= {keep}")
         self.first = first.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        self.graph = self._descend(self._initial())
+        self.shares: list[float] = []
+        self.graph = self._descend(self._initial(), rounds)
 
     def _ranked(self, links: DataFrame) -> DataFrame:
-        """(u, links): the best of each vector. Links of one vector are few: KEEP a table, or a block of a round."""
-        one = F.collect_set(F.struct((-F.col("sim")).alias("far"), "v", "pv"))
-        return links.groupBy("u").agg(F.slice(F.array_sort(one), 1, self.keep).alias("links"))
+        """(u, more): the best of each vector. Found links of one vector are few: SENT of each block that it was sent to."""
+        one = F.collect_set(F.struct((-F.col("sim")).alias("far"), "v", "pv", F.lit(True).alias("fresh")))
+        return links.groupBy("u").agg(F.slice(F.array_sort(one), 1, self.keep).alias("more"))
 
-    def _placed(self, columns: list[str]) -> DataFrame:
-        """The vectors once for each table, with their code; the codes are worked out where they are needed, not stored."""
-        dim, hasher = self.dim, self.hasher
-
-        def run(batches):
-            for b in batches:
-                for lo in range(0, b.num_rows, 2000):
-                    part = b.slice(lo, 2000)
-                    codes = hasher.codes(_matrix(part.column(2), dim), part.column(3).to_numpy().astype(np.int64))
-                    for t in range(codes.shape[1]):
-                        yield pa.RecordBatch.from_arrays([pa.array(codes[:, t]), *(part.column(i) for i in range(3))], names=["code", "id", "p", "q"])
+    def _initial(self) -> DataFrame:
+        placed = self.vectors.select("code", "id", "p", "c").repartitionByRange("code").sortWithinPartitions("code")
+        links = self._ranked(placed.mapInArrow(_bucket_links(self.dim, self.keep), _LINK))
+        old = F.transform("more", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
+        return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "c", "space").join(links.withColumn("more", old), "u", "left").withColumnRenamed("more", "links"))
 
-        return self.vectors.select("id", "p", "q", "space").mapInArrow(run, "code long, id long, p int, q binary").select("code", *columns)
+    def _strangers(self, graph: DataFrame) -> DataFrame:
+        """(x, c, p, fresh): each vector as a visitor of random vectors of its space, VISITS blocks of them, MEETINGS in each.
 
-    def _initial(self) -> DataFrame:
-        placed = self._placed(["id", "p", "q"]).repartitionByRange("code").sortWithinPartitions("code")
-        links = self._ranked(placed.mapInArrow(_bucket_links(self.dim, self.keep, self.floor), _LINK))
-        return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "q").join(links, "u", "left"))
-
-    def _descend(self, graph: DataFrame) -> DataFrame:
-        keep = self.keep
-        for _ in range(MOST_ROUNDS):
-            least = F.when(F.size("links") >= keep, -F.element_at("links", -1).far).otherwise(-2.0)
-            rows = graph.where("links IS NOT NULL").select("u", "pu", "q", F.transform("links", lambda x: x.v).alias("vs"), F.transform("links", lambda x: x.pv).alias("ps"), least.alias("least"))
-            sent = rows.withColumn("p", F.explode(F.array_union(F.array_distinct("ps"), F.array("pu"))))
-            new = materialize(sent.groupBy("p").applyInArrow(_meet(self.dim, keep, self.floor), _LINK))
-            found, have = new.count(), graph.select(F.sum(F.size("links"))).head()[0] or 0
-            if not found:
-                break
-            more = self._ranked(new).withColumnRenamed("links", "more")
-            both = F.slice(F.array_sort(F.array_union(F.coalesce("links", F.array()), "more")), 1, keep)
-            graph = materialize(graph.join(more, "u", "left").select("u", "pu", "q", F.when(F.col("more").isNull(), F.col("links")).otherwise(both).alias("links")))
-            if found < SETTLED * have:
+        The vectors of a block and space are numbered at random, visitors draw numbers, so it takes one join.
+        """
+        numbered = graph.select("u", "space", F.col("pu").alias("p"), (F.row_number().over(W.partitionBy("pu", "space").orderBy(F.xxhash64("u", F.lit(11)))) - 1).alias("no"))
+        sized = numbered.groupBy("p", "space").agg((F.max("no") + 1).alias("n"))
+        draw = lambda what, most, a, b: F.pmod(F.xxhash64("u", a, b, F.lit(what)), most)
+        visits = graph.select("u", "space", F.explode(F.sequence(F.lit(1), F.lit(VISITS))).alias("i")).select("u", "space", draw(1, F.lit(self.blocks), F.col("i"), F.lit(0)).cast("int").alias("p"))
+        seats = visits.join(F.broadcast(sized) if self.blocks <= 100_000 else sized, ["p", "space"])
+        seats = seats.select("u", "space", "p", "n", F.explode(F.sequence(F.lit(1), F.lit(MEETINGS))).alias("k")).select(F.col("u").alias("x"), "space", "p", draw(2, F.col("n"), F.col("p"), F.col("k")).cast("int").alias("no"))
+        return seats.join(numbered.withColumnRenamed("u", "centre"), ["p", "space", "no"]).where("x <> centre").select("x", "centre", "p", F.lit(True).alias("fresh"))
+
+    def _descend(self, graph: DataFrame, rounds: int) -> DataFrame:
+        strangers = self._strangers(graph)
+        for _ in range(rounds):
+            links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.pv").alias("pv"), F.col("l.fresh").alias("fresh"))
+            # of the vectors that have v for a neighbour a sample meets at v, new ones first
+            back = links.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", "v")))).where(f"n <= {REVERSE}").drop("n")
+            # at a centre meet its neighbours, all of them, and that sample of those that have it
+            seats = back.select(F.col("u").alias("x"), F.col("v").alias("centre"), F.col("pv").alias("p"), "fresh").union(links.select(F.col("v").alias("x"), F.col("u").alias("centre"), F.col("pu").alias("p"), "fresh"))
+            if strangers is not None:
+                seats = seats.union(strangers)
+            own = graph.select(F.col("u").alias("x"), F.col("u").alias("centre"), F.col("pu").alias("p"), F.lit(False).alias("fresh"))
+            seats = seats.union(own)
+            if strangers is None:  # centres where nobody is new have nothing to compare
+                seats = seats.join(seats.where("fresh").select("centre").distinct(), "centre", "left_semi")
+            sent = seats.repartition("x").groupBy("x", "p").agg(F.collect_list("centre").alias("centres"), F.collect_list("fresh").alias("fresh"))
+            least = F.when(F.size("links") >= self.keep, -F.element_at("links", -1).far).otherwise(F.lit(-2.0).cast("float"))
+            known = graph.select(F.col("u").alias("x"), "pu", "c", least.alias("least"), F.hash("u").alias("h"), F.transform(F.coalesce("links", F.array()), lambda x: F.hash(x.v)).alias("known"))
+            moved = sent.join(known, "x").select("p", F.col("x").alias("u"), "pu", F.col("c").alias("q"), "least", "centres", "fresh", "h", "known")
+            found = self._ranked(moved.groupBy("p").applyInArrow(_meet(self.dim, self.keep, -1.0), _LINK))
+            # what is there was met in this round, or left out by its sample, and is old from now on
+            have = F.transform(F.coalesce("links", F.array()), lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
+            news = F.filter(F.coalesce("more", F.array()), lambda m: ~F.exists("have", lambda h: h.v == m.v))
+            both = F.slice(F.array_sort(F.concat("have", news)), 1, self.keep)
+            graph = materialize(graph.join(found, "u", "left").withColumn("have", have).select("u", "pu", "c", "space", both.alias("links")))
+            strangers = None
+            r = graph.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()
+            self.shares.append((r["new"] or 0) / max(1, r["all"] or 0))
+            if self.shares[-1] < SETTLED:
                 break
         return graph
 
+    def links(self, least: float) -> DataFrame:
+        """(u, v, sim): the links of the graph of at least that cosine, compared by the 16-bit vectors."""
+        dim = self.dim
+
+        def exact(batches):
+            for b in batches:
+                s = _cosines(b.column(2), b.column(3), dim)
+                keep = pa.array(s >= least)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["u", "v", "sim"]).filter(keep)
+
+        near = self.graph.select("u", F.explode("links").alias("l")).select("u", F.col("l.v").alias("v"), (-F.col("l.far")).alias("sim")).where(F.col("sim") >= least - COARSE)
+        q = self.vectors.select("id", "q")
+        return near.join(q.toDF("v", "qv"), "v").join(q.toDF("u", "qu"), "u").select("u", "v", "qu", "qv").mapInArrow(exact, "u long, v long, sim double")
+
     def neighbours(self, k: int, least: float) -> DataFrame:
         """(key, neighbour, sim): up to ``k`` other rows of each, by cosine, equal ones by key."""
-        links = self.graph.select("u", F.explode("links").alias("l")).select("u", F.col("l.v").alias("v"), (-F.col("l.far")).alias("sim")).where(F.col("sim") >= least)
-        links = links.union(self.members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id", F.lit(1.0)))
+        links = self.links(least).union(self.members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "id", F.lit(1.0)))
         named = links.join(self.first.toDF("v", "keys"), "v").select("u", (-F.col("sim")).alias("far"), F.explode("keys").alias("key"))
         ranked = named.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "key"))), 1, k + 1).alias("near"))
         each = self.members.join(ranked.withColumnRenamed("u", "id"), "id").select(F.col("key").alias("own"), "near")
         each = each.select(F.col("own").alias("key"), F.explode(F.slice(F.filter("near", lambda x: x.key != F.col("own")), 1, k)).alias("n"))
         return each.select("key", F.col("n.key").alias("neighbour"), (-F.col("n.far")).alias("sim"))
 
-    def search(self, queries: DataFrame, key: str, vector: str, k: int = 10, beam: int = 32, most_rounds: int = 12) -> DataFrame:
-        """(key, neighbour, sim): greedy graph search for new vectors.
+    def search(self, queries: DataFrame, key: str, vector: str, space: str | None = None, k: int = 10, beam: int = 48, most_rounds: int = 20) -> DataFrame:
+        """(key, neighbour, sim): greedy graph search for vectors, each in its ``space`` (0 without that column).
 
-        Enters the graph at the vectors of the query's hash buckets (at most ``beam`` of each), then goes to neighbours of
-        the best ``beam`` found until those stay the same. Queries of unusable vectors have no row, repeated
-        ones count once.
+        Enters the graph at vectors of the query's hash bucket and at vectors drawn from its whole space, ``beam`` of each
+        at most, then goes to the neighbours of the best ``beam`` found until those stay the same. Queries of unusable
+        vectors have no row, repeated ones count once.
         """
         dim, hasher = self.dim, self.hasher
 
         def prepare(batches):
             for b in batches:
-                at, q = unit(b.column(1), dim)
+                at, q = unit(b.column(2), dim)
                 if at.size:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), _binary(q), _longs(hasher.codes(q, np.zeros(len(q), np.int64)))], names=["key", "qq", "codes"])
+                    space_ = b.column(1).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), space_, _binary(q), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "qq", "code"])
 
         def score(batches):
             for b in batches:
-                x, y = _matrix(b.column(2), dim), _matrix(b.column(3), dim)
-                s = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) if b.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["key", "v", "sim"])
-
-        asked = queries.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<float>").alias("v")).where("key IS NOT NULL AND v IS NOT NULL").groupBy("key").agg(F.min("v").alias("v"))
-        asked = materialize(asked.mapInArrow(prepare, "key string, qq binary, codes array<long>"))
-        bucketed = self._placed(["id"]).select("id", F.shiftright("code", 16).alias("bucket"))
-        entry = bucketed.withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(f"n <= {beam}").select("bucket", F.col("id").alias("v"))
-        open_ = asked.select("key", F.explode("codes").alias("c")).select("key", F.shiftright("c", 16).alias("bucket")).join(entry, "bucket").select("key", "v").distinct()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_cosines(b.column(2), b.column(3), dim))], names=["key", "v", "sim"])
+
+        asked = queries.select(F.col(key).cast("string").alias("key"), (F.col(space).cast("int") if space else F.lit(0)).alias("space"), F.col(vector).cast("array<float>").alias("v")).where("key IS NOT NULL AND space IS NOT NULL AND v IS NOT NULL")
+        asked = asked.groupBy("key", "space").agg(F.min("v").alias("v"))
+        asked = materialize(asked.mapInArrow(prepare, "key string, space int, qq binary, code long"))
+        bucketed = self.vectors.select("id", "space", F.shiftright("code", 16).alias("bucket"))
+        near = bucketed.withColumn("n", F.row_number().over(W.partitionBy("bucket").orderBy("id"))).where(f"n <= {beam}").select("bucket", F.col("id").alias("v"))
+        far = bucketed.withColumn("n", F.row_number().over(W.partitionBy("space").orderBy(F.xxhash64("id", F.lit(5))))).where(f"n <= {beam}").select("space", F.col("id").alias("v"))
+        open_ = asked.withColumn("bucket", F.shiftright("code", 16)).join(near, "bucket").select("key", "space", "v").union(asked.join(F.broadcast(far), "space").select("key", "space", "v")).distinct()
         vectors, state = self.vectors.select(F.col("id").alias("v"), "q"), None
         links = self.graph.where("links IS NOT NULL").select(F.col("u").alias("v"), F.transform("links", lambda x: x.v).alias("vs"))
-        w = W.partitionBy("key").orderBy(F.desc("sim"), "v")
+        back = links.select("v", F.explode("vs").alias("u")).withColumn("n", F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("u", "v")))).where(f"n <= {REVERSE}")
+        back = back.groupBy("u").agg(F.collect_list("v").alias("back")).withColumnRenamed("u", "v")
+        ways_of = materialize(links.join(back, "v", "full").select("v", F.array_union(F.coalesce("vs", F.array()), F.coalesce("back", F.array())).alias("vs")))
+        w = W.partitionBy("key", "space").orderBy(F.desc("sim"), "v")
+        ask = asked.select(F.struct("key", "space").alias("who"), "qq")
         for _ in range(most_rounds):
-            new = open_.join(asked.select("key", "qq"), "key").join(vectors, "v").select("key", "v", "qq", "q").mapInArrow(score, "key string, v long, sim double")
-            new = new.withColumn("fresh", F.lit(True))
+            new = open_.select(F.struct("key", "space").alias("who"), "v").join(ask, "who").join(vectors, "v").select("who", "v", "qq", "q").mapInArrow(score, "key struct<key string, space int>, v long, sim double")
+            new = new.select("key.key", "key.space", "v", "sim", F.lit(True).alias("fresh"))
             all_ = new if state is None else state.withColumn("fresh", F.lit(False)).unionByName(new)
             state = materialize(all_.withColumn("n", F.row_number().over(w)).where(f"n <= {beam}").drop("n"))
-            ways = state.where("fresh").join(links, "v").select("key", F.explode("vs").alias("v")).distinct()
-            open_ = materialize(ways.join(state.select("key", "v"), ["key", "v"], "left_anti"))
+            ways = state.where("fresh").join(ways_of, "v").select("key", "space", F.explode("vs").alias("v")).distinct()
+            open_ = materialize(ways.join(state.select("key", "space", "v"), ["key", "space", "v"], "left_anti"))
             state = state.drop("fresh")
             if open_.isEmpty():
                 break
-        named = state.join(self.first.toDF("v", "keys"), "v").select("key", "sim", F.explode("keys").alias("neighbour"))
-        return named.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("sim"), "neighbour"))).where(f"n <= {k}").select("key", "neighbour", "sim")
+        named = state.join(self.first.toDF("v", "keys"), "v").select("key", "space", "sim", F.explode("keys").alias("neighbour"))
+        return named.withColumn("n", F.row_number().over(W.partitionBy("key", "space").orderBy(F.desc("sim"), "neighbour"))).where(f"n <= {k}").select("key", "space", "neighbour", "sim")
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+def _cosines(a: pa.Array, b: pa.Array, dim: int) -> np.ndarray:
+    x, y = _matrix(a, dim), _matrix(b, dim)
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1)) if len(x) else np.zeros(0)
+
+
+def _chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """(chunk_id, space, vector): space 0 for ``embedding_stmt``, 1 for ``embedding_proof``."""
     chunks = spark.read.parquet(f"{sf}/chunks.parquet")
     both = [chunks.select("chunk_id", F.lit(i).alias("space"), F.col(c).alias("vector")) for i, c in enumerate(("embedding_stmt", "embedding_proof"))]
-    graph = NeighbourGraph(both[0].unionByName(both[1]), "chunk_id", "vector", "space")
+    return both[0].unionByName(both[1])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    graph = NeighbourGraph(_chunk_vectors(spark, sf), "chunk_id", "vector", "space")
     return graph.neighbours(5, 0.85).select(F.col("key").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
 
 
 def p3_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The ten most similar vectors of every vector of ``embeddings`` whose id is divisible by 100, against all rows."""
-    all_ = spark.read.parquet(f"{sf}/embeddings.parquet")
-    graph = NeighbourGraph(all_, "vec_id", "embedding", keep=24, floor=-1.0, tables=8)
-    found = graph.search(all_.where("vec_id % 100 = 0"), "vec_id", "embedding", k=10, beam=64)
-    return found.select(F.col("key").cast("long").alias("vec_id"), F.col("neighbour").cast("long").alias("neighbour_id"), F.round("sim", 4).alias("sim"))
+    """(chunk_id, space, neighbour_id, sim): the ten most similar vectors of the same column, that of the chunk itself
+    included, of every chunk whose id (the hexadecimal digits at its end) is divisible by 100, searched in the graph of all."""
+    all_ = _chunk_vectors(spark, sf)
+    number = F.conv(F.substring_index("chunk_id", ":", -1), 16, 10).cast("decimal(20,0)")
+    graph = NeighbourGraph(all_, "chunk_id", "vector", "space")
+    found = graph.search(all_.where(number % 100 == 0), "chunk_id", "vector", "space")
+    return found.select(F.col("key").alias("chunk_id"), "space", F.col("neighbour").alias("neighbour_id"), F.round("sim", 4).alias("sim"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_search": p3_search}
