@@ -1,9 +1,10 @@
 """Problem 1: texts that are nearly the same.
 
-Each distinct set of word shingles gets a fingerprint of 128 bits (two bits of each of 64 min-hashes, so that the
-expected Hamming distance of two sets is 64 times one minus their similarity). Sets that agree in a band of three
-min-hashes stand in one binary trie; the trie is joined with itself: pairs of nodes are walked together, differing bits
-add up, and a pair is given up when they exceed the error budget. What comes out is checked exactly on the shingles.
+Each distinct set of word shingles gets fingerprints of 192 bits: 64 leading bits mixed of two min-hashes, in which no bit
+may differ, then two bits of each of 64 min-hashes, so that the expected Hamming distance of two sets is 64 times one minus
+their similarity. There are TRIES binary tries over all sets, each with two other min-hashes in front. Every trie is joined
+with itself: from the root, pairs of nodes are walked together, differing bits add up, and a pair is given up when they
+exceed the error budget. What comes out is checked exactly on the shingles.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from quillon.operators.components import components
 from quillon.operators.pairs import grouped_pairs
 from quillon.session import broadcast_if_small, materialize
 
-HASHES, BAND, BANDS = 64, 3, 12
+#: Min-hashes, those in front of one trie, tries. Two sets of similarity s share no trie's leading bits with probability
+#: (1 - s^2)^20: 1.4e-6 at 0.70, 1e-9 at 0.80.
+HASHES, LEAD, TRIES = 64, 2, 20
 #: Standard deviations above the expected distance that the error budget leaves.
-SLACK = 4.0
-#: Members of a trie that one task walks; a larger one is cut into blocks that meet in pairs.
+SLACK = 5.0
+#: Members below one leading word that one task walks; more are cut into blocks that meet in pairs.
 HOT = 8192
-#: Node pairs of at most so many members' products are compared directly.
-LEAF = 1024
 #: Bytes of a shingle's hash that the exact check keeps (a false match within a pair of texts: about 1e-8).
 KEPT = 5
 
@@ -45,7 +46,7 @@ def min_hashes(s: Words) -> np.ndarray:
     return mix(out)
 
 
-def _prepare(size: int, least_words: int):
+def _prepare(size: int, least_words: int, linked_words: int):
     names = ["scope", "key", "id", "hi", "lo", "bands", "blob"]
 
     def run(batches):
@@ -67,16 +68,18 @@ def _prepare(size: int, least_words: int):
                 own = mix(np.add.reduceat(mix(s.hashes), s.offs[:-1]) ^ scope)
                 two = (m & np.uint64(3)).astype(np.uint64)
                 hi, lo = (np.bitwise_or.reduce(two[h : h + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2))[:, None], axis=0) for h in (0, 32))
-                bands = np.empty((BANDS, long.size), np.uint64)
-                for t in range(BANDS):
+                linked = np.diff(w.offs) >= linked_words
+                bands = np.empty((TRIES, long.size), np.uint64)
+                for t in range(TRIES):
                     bands[t] = scope ^ np.uint64(t)
-                    for k in range(BAND):
-                        bands[t] = mix(bands[t] ^ m[t * BAND + k])
+                    for k in range(LEAD):
+                        bands[t] = mix(bands[t] ^ m[t * LEAD + k])
                 raw = np.ascontiguousarray(s.hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), long.size, [None, pa.py_buffer((s.offs * KEPT).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
                 take = pa.array(long)
-                flat = pa.array(np.ascontiguousarray(bands.T).reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (own, hi, lo)), pa.ListArray.from_arrays(pa.array(np.arange(0, (long.size + 1) * BANDS, BANDS), pa.int32()), flat), blob], names=names)
+                flat = pa.array(np.ascontiguousarray(bands.T[linked]).reshape(-1).view(np.int64))
+                ends = np.concatenate(([0], np.cumsum(linked) * TRIES))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (own, hi, lo)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), blob], names=names)
 
     return run
 
@@ -112,52 +115,63 @@ def hash_text(x: str | None) -> int:
     return out
 
 
-def trie_join(hi: np.ndarray, lo: np.ndarray, a: tuple, b: tuple, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of fingerprints at most ``budget`` bits apart, from pairs of tries.
+class Walked:
+    """Node pairs that a trie join visited and gave up."""
 
-    ``a`` and ``b``: (starts, ends) of the tries' ranges in the sorted fingerprints; the same range twice is a self-join
-    (i < j). All node pairs of one depth are walked in step: each node is cut at its next bit, children that differ in it
-    cost one more bit, and pairs over the budget are pruned.
+    visited = pruned = 0
+
+
+def trie_join(words: list[np.ndarray], a: tuple, b: tuple, budgets: list[int], walked: Walked | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of fingerprints that differ in few bits, from pairs of tries.
+
+    ``words``: the 64-bit words of the sorted fingerprints, first word first; ``budgets``: differing bits allowed up to the
+    end of each. ``a`` and ``b``: (starts, ends) of the tries' ranges; the same range twice is a self-join (i < j). All node
+    pairs of one depth are walked in step: each node is cut at its next bit, children that differ in it cost one more bit,
+    pairs over the budget are given up, and so is a node with itself that has one member. Two single members are a leaf:
+    the rest of their bits is counted at once.
     """
     alo, ahi, blo, bhi = (np.asarray(x, np.int64) for x in (*a, *b))
     diff, found = np.zeros(alo.size, np.int64), []
-    for depth in range(129):
+    depths = 64 * len(words)
+    for depth in range(depths + 1):
         self_ = (alo == blo) & (ahi == bhi)
-        small = ((ahi - alo) * (bhi - blo) <= LEAF) | (depth == 128)
-        if small.any():
-            found.append(_leaves(hi, lo, alo[small], ahi[small], blo[small], bhi[small], self_[small], budget))
-        alo, ahi, blo, bhi, diff, self_ = (x[~small] for x in (alo, ahi, blo, bhi, diff, self_))
+        leaf = ((ahi - alo) * (bhi - blo) == 1) & ~self_
+        if depth == depths:  # fingerprints that are equal, or near: all pairs of the two nodes
+            n, wide = (ahi - alo) * (bhi - blo), bhi - blo
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, j = np.repeat(alo, n) + place // np.repeat(wide, n), np.repeat(blo, n) + place % np.repeat(wide, n)
+            keep = ~np.repeat(self_, n) | (i < j)
+            found.append((i[keep], j[keep]))
+            break
+        w, bit = depth // 64, 63 - depth % 64
+        if leaf.any():
+            i, j, sum_ = alo[leaf], blo[leaf], diff[leaf]
+            ok = np.ones(i.size, bool)
+            for k in range(w, len(words)):
+                x = words[k][i] ^ words[k][j]
+                sum_ = sum_ + np.bitwise_count(x & np.uint64((2 << bit) - 1) if k == w else x)
+                ok &= sum_ <= budgets[k]
+            found.append((i[ok], j[ok]))
+        alo, ahi, blo, bhi, diff, self_ = (x[~leaf] for x in (alo, ahi, blo, bhi, diff, self_))
         if not alo.size:
             break
-        word, bit = (hi, 63 - depth) if depth < 64 else (lo, 127 - depth)
-        zeros = np.concatenate(([0], np.cumsum((word >> np.uint64(bit)) & np.uint64(1) == 0)))
+        zeros = np.concatenate(([0], np.cumsum((words[w] >> np.uint64(bit)) & np.uint64(1) == 0)))
         amid, bmid = alo + zeros[ahi] - zeros[alo], blo + zeros[bhi] - zeros[blo]
         other = ~self_
-        parts = [(alo, amid, blo, bmid, diff), (amid, ahi, bmid, bhi, diff), (alo, amid, bmid, bhi, diff + 1), tuple(x[other] for x in (amid, ahi, blo, bmid, diff + 1))]
+        parts = [(alo, amid, blo, bmid, diff), (amid, ahi, bmid, bhi, diff)]
+        if budgets[w]:
+            parts += [(alo, amid, bmid, bhi, diff + 1), tuple(x[other] for x in (amid, ahi, blo, bmid, diff + 1))]
         alo, ahi, blo, bhi, diff = (np.concatenate(x) for x in zip(*parts))
-        keep = (ahi > alo) & (bhi > blo) & (diff <= budget)
+        real = (ahi > alo) & (bhi > blo)
+        keep = real & (diff <= budgets[w]) & ~((alo == blo) & (ahi == bhi) & (ahi - alo == 1))
+        if walked:
+            walked.visited += int(real.sum())
+            walked.pruned += int((real & ~keep).sum())
         alo, ahi, blo, bhi, diff = (x[keep] for x in (alo, ahi, blo, bhi, diff))
     none = np.zeros(0, np.int64)
     return (np.concatenate([x for x, _ in found] or [none]), np.concatenate([x for _, x in found] or [none]))
 
 
-def _leaves(hi, lo, alo, ahi, blo, bhi, self_, budget):
-    n, wide = (ahi - alo) * (bhi - blo), bhi - blo
-    out, at, ends = [], 0, np.cumsum(n)
-    while at < n.size:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
-        k = n[at:to]
-        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        w = np.repeat(wide[at:to], k)
-        i, j = np.repeat(alo[at:to], k) + place // w, np.repeat(blo[at:to], k) + place % w
-        keep = ~np.repeat(self_[at:to], k) | (i < j)
-        i, j = i[keep], j[keep]
-        near = np.bitwise_count(hi[i] ^ hi[j]).astype(np.int64) + np.bitwise_count(lo[i] ^ lo[j]) <= budget
-        out.append((i[near], j[near]))
-        at = to
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-
-
 _OUT = "a long, b long, band long, hi long, lo long, block int"
 
 
@@ -167,17 +181,18 @@ def _rows(a, b, band=None, hi=None, lo=None, block=None):
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), fill(b, pa.int64()), fill(band, pa.int64()), fill(hi, pa.int64()), fill(lo, pa.int64()), fill(block, pa.int32())], names=["a", "b", "band", "hi", "lo", "block"])
 
 
+def _unsigned(x: np.ndarray) -> np.ndarray:
+    """Words in the order in which signed numbers are sorted."""
+    return x.view(np.uint64) ^ np.uint64(1 << 63)
+
+
 def _tries(budget: int):
-    """Batches sorted by (band, hi, lo) to candidate pairs; members of tries over HOT come out as they are, with their block."""
+    """One shard of the tries, sorted by (band, hi, lo), to candidate pairs; members below one leading word that are more
+    than HOT come out as they are, with their block."""
 
     def pairs(band, hi, lo, ids):
-        cut = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
-        many = np.diff(cut) > 1
-        start, end = cut[:-1][many], cut[1:][many]
-        if not start.size:
-            return None
-        # a trie of unsigned words, the sort was by signed ones
-        i, j = trie_join(hi, lo, (start, end), (start, end), budget)
+        root = ([0], [len(ids)])
+        i, j = trie_join([_unsigned(x) for x in (band, hi, lo)], root, root, [0, budget, budget])
         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
         one = np.unique(np.stack([a, b], 1)[a != b], axis=0)
         return _rows(one[:, 0], one[:, 1]) if len(one) else None
@@ -219,8 +234,7 @@ def _tries(budget: int):
             yield _rows(ids[s:e], None, band[s:e], hi[s:e], lo[s:e], np.arange(e - s) // HOT)
         keep = ~np.repeat(wide, np.diff(cut))
         if keep.any():
-            hi, lo = hi[keep].view(np.uint64) ^ np.uint64(1 << 63), lo[keep].view(np.uint64) ^ np.uint64(1 << 63)
-            out = pairs(band[keep], hi, lo, ids[keep])
+            out = pairs(band[keep], hi[keep], lo[keep], ids[keep])
             if out is not None:
                 yield out
 
@@ -234,17 +248,20 @@ def _blocks(budget: int):
         hi, lo, ids, block = (table.column(c).to_numpy() for c in ("hi", "lo", "a", "block"))
         x = table.column("x")[0].as_py()
         order = np.lexsort((lo, hi, block != x))
-        hi, lo = (c[order].view(np.uint64) ^ np.uint64(1 << 63) for c in (hi, lo))
+        hi, lo = (_unsigned(c[order]) for c in (hi, lo))
         ids, n = ids[order], int((block == x).sum())
         one = ([0], [n])
-        i, j = trie_join(hi, lo, one, one if n == len(ids) else ([n], [len(ids)]), budget)
+        i, j = trie_join([hi, lo], one, one if n == len(ids) else ([n], [len(ids)]), [budget, budget])
         return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     return run
 
 
 def similar_sets(sets: DataFrame, budget: int) -> DataFrame:
-    """(a, b): ids of the candidate pairs, by binary trie self-join within bands. ``sets``: (id, hi, lo, bands), one row a set."""
+    """(a, b): ids of the candidate pairs, by binary trie self-joins. ``sets``: (id, hi, lo, bands), one row a set.
+
+    ``bands`` are the leading words of a set in each trie. The budget is 0 there, so a trie falls apart into shards by them.
+    """
     placed = sets.select(F.explode("bands").alias("band"), "hi", "lo", "id").repartition("band").sortWithinPartitions("band", "hi", "lo")
     out = materialize(placed.mapInArrow(_tries(budget), _OUT))
     near = out.where("b IS NOT NULL").select("a", "b")
@@ -282,16 +299,17 @@ class NearDuplicates:
     """Near-duplicate texts of a table, each scope (record set) by itself.
 
     ``members``: (scope, key, id) of every key whose text has ``least_words`` words, with 1 also of texts of other characters
-    only; equal sets share an id. A text with fewer words than a shingle is one shingle.
+    only; equal sets share an id. A text with fewer words than a shingle is one shingle. Texts of fewer than
+    ``linked_words`` words are linked to their copies only.
     ``links``: (a, b) ids of different sets whose similarity (shared shingles over all shingles of both) reaches the
     threshold. Null keys and texts and shorter texts take no part in pairs; repeated rows count once.
     """
 
-    def __init__(self, df: DataFrame, scope: str, key: str, text: str, size: int = 5, similarity: float = 0.8, least_words: int = 1):
+    def __init__(self, df: DataFrame, scope: str, key: str, text: str, size: int = 5, similarity: float = 0.8, least_words: int = 1, linked_words: int = 1):
         keyed = df.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL")
         given = keyed.where("text IS NOT NULL")
         self.keys = keyed.select("scope", "key").distinct() if least_words <= 1 else None
-        made = materialize(given.mapInArrow(_prepare(size, least_words), "scope string, key string, id long, hi long, lo long, bands array<long>, blob binary"))
+        made = materialize(given.mapInArrow(_prepare(size, least_words, linked_words), "scope string, key string, id long, hi long, lo long, bands array<long>, blob binary"))
         self.members = materialize(made.select("scope", "key", "id").distinct())
         sets = made.select("id", "hi", "lo", "bands").groupBy("id").agg(*(F.first(c).alias(c) for c in ("hi", "lo", "bands")))
         near = materialize(similar_sets(sets, error_budget(similarity)))
@@ -341,7 +359,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return NearDuplicates(_texts(spark, sf), "record_set", "key", "text").classes().withColumnRenamed("scope", "record_set")
+    """One row a key: its class and links by the pairs of ``p1_found``. Texts of fewer than 40 words have only their copies."""
+    return NearDuplicates(_texts(spark, sf), "record_set", "key", "text", size=3, similarity=0.70, least_words=1, linked_words=40).classes().withColumnRenamed("scope", "record_set")
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}

@@ -67,13 +67,28 @@ def test_trie_join_equals_all_pairs():
     order = np.lexsort((lo, hi))
     hi, lo = hi[order], lo[order]
     cut = ([0, 150], [150, 400])
-    neardup_leaf, neardup.LEAF = neardup.LEAF, 4
-    try:
-        got = {*zip(*(x.tolist() for x in neardup.trie_join(hi, lo, cut, cut, 4)))}
-    finally:
-        neardup.LEAF = neardup_leaf
+    walked = neardup.Walked()
+    got = {*zip(*(x.tolist() for x in neardup.trie_join([hi, lo], cut, cut, [4, 4], walked)))}
     want = {(i, j) for a, b in zip(*cut) for i in range(a, b) for j in range(i + 1, b) if bin(int(hi[i] ^ hi[j])).count("1") + bin(int(lo[i] ^ lo[j])).count("1") <= 4}
     assert {(min(p), max(p)) for p in got} == want
+    # node pairs are given up long before all pairs of members are looked at
+    assert 0 < walked.pruned < walked.visited
+    hi, lo = (np.sort(rng.integers(0, 2**63, 4000, dtype=np.uint64)) for _ in "12")
+    walked = neardup.Walked()
+    one = ([0], [4000])
+    found = {*zip(*(x.tolist() for x in neardup.trie_join([hi, lo], one, one, [0, 128], walked)))}
+    assert not found and walked.visited < 40_000  # a leading word without errors: of 8 million pairs none is formed
+
+
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs of exactly 0.70: 140 three-word sequences in both, 30 more in either one."""
+    data = []
+    for f in range(400):
+        both = [f"b{f}x{i}" for i in range(142)]
+        data += [(f"a{f}", " ".join(both + [f"l{f}y{i}" for i in range(30)])), (f"b{f}", " ".join(both + [f"r{f}y{i}" for i in range(30)]))]
+    df = spark.createDataFrame(data, "key string, text string").selectExpr("'s' AS scope", "*")
+    nd = neardup.NearDuplicates(df, "scope", "key", "text", size=3, similarity=0.7, least_words=40)
+    assert {tuple(r)[1:] for r in nd.pairs().collect()} == {(f"a{f}", f"b{f}") for f in range(400)}
 
 
 def vectors(n, seed=0, dim=16):
