@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillon.session import materialize
+from quillon.session import broadcast_if_small, materialize
 
 #: Neighbours kept of each vector while the graph is built, and vectors sampled of those that have it for a neighbour.
 KEEP, REVERSE = 16, 16
-#: Before the first round each vector visits so many random blocks, and so many random vectors in each.
+#: In the first round each vector visits so many random blocks, and so many random vectors in each.
 VISITS, MEETINGS = 3, 10
+#: Vectors that have one for a neighbour from which on only so many of them, chosen by a hash, are told to meet there; found on
+#: one link in PROBE.
+HUB, PROBE = 1024, 16
 #: Vectors of a bucket that the hash aims at, vectors of a bucket compared at once, vectors of a block of one round.
 BUCKET, WINDOW, BLOCK = 32, 512, 8192
 #: Better links of one vector that one block of a round sends on; what it finds beyond them is found again later.
@@ -170,55 +173,123 @@ def _bucket_links(dim: int, keep: int):
     return run
 
 
-def _meet(dim: int, keep: int, floor: float):
+#: Stands for a centre: any vectors of the block.
+_ANY = np.iinfo(np.int64).min
+#: Marks of a vector at a centre: new there; one of the centre's own neighbours (all of those meet, of the others a sample).
+_NEW, _OWN = 1, 2
+_SENT = "p int, u long, pu int, space int, c binary, least float, centres array<long>, marks array<byte>, known array<long>"
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of a list column; null lists have none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), n), column.flatten()
+
+
+def _ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _send(keep: int, blocks: int, visits: int):
+    """Rows (u, pu, space, c, links, back) to one row for each block where the vector has to be, with the centres it meets at.
+
+    A vector meets at itself, at its neighbours, and at those that have it for a neighbour (``back``).
+    """
+
+    def run(batches):
+        rng = np.random.default_rng(3)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4000):
+                b = whole.slice(lo, 4000)
+                n, u, pu = b.num_rows, b.column(0).to_numpy(), b.column(1).to_numpy()
+                row, links = _lists(b.column(4))
+                v, pv, new, far = (links.field(f).to_numpy(zero_copy_only=False) for f in ("v", "pv", "fresh", "far"))
+                brow, back = _lists(b.column(5))
+                bu, bp, bnew = (back.field(f).to_numpy(zero_copy_only=False) for f in ("u", "pu", "fresh"))
+                every = np.arange(n)
+                rows = np.concatenate([every, row, brow, np.repeat(every, visits)])
+                p = np.concatenate([pu, pv, bp, rng.integers(0, blocks, n * visits)]).astype(np.int64)
+                centre = np.concatenate([u, v, bu, np.full(n * visits, _ANY)])
+                mark = np.concatenate([np.full(n, _OWN), new * _NEW, bnew * _NEW + _OWN, np.full(n * visits, _NEW)]).astype(np.int8)
+                order = np.lexsort((p, rows))
+                rows, p, centre, mark = rows[order], p[order], centre[order], mark[order]
+                cut = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (p[1:] != p[:-1])))) if n else np.zeros(0, np.int64)
+                count = np.bincount(row, minlength=n)
+                least = np.full(n, -2, np.float32)
+                full = np.flatnonzero(count >= keep)
+                least[full] = -far[np.cumsum(count)[full] - 1]
+                known = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(v, pa.int64()))
+                at = pa.array(rows[cut])
+                yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), *(b.column(i).take(at) for i in range(4)), pa.array(least).take(at), _ragged(centre, cut, pa.int64()), _ragged(mark, cut, pa.int8()), known.take(at)], names=[x.split()[0] for x in _SENT.split(", ")])
+
+    return run
+
+
+def _seats(table: pa.Table, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, members, new) of the centres of a block: members of one centre stand together from its start on."""
+    member, centre = _lists(table.column("centres"))
+    centre = centre.to_numpy(zero_copy_only=False)
+    mark = _lists(table.column("marks"))[1].to_numpy(zero_copy_only=False)
+    here, space = table.column("p")[0].as_py(), table.column("space").to_numpy()
+    visit = centre == _ANY
+    drawn, rng = [], np.random.default_rng(here)
+    for s in np.unique(space[member[visit]]):
+        home = np.flatnonzero((own == here) & (space == s))
+        guest = np.repeat(member[visit & (space[member] == s)], MEETINGS)
+        if home.size:
+            drawn.append((guest, ids[home[rng.integers(0, home.size, guest.size)]], np.full(guest.size, _NEW, np.int8)))
+    member, centre, mark = (np.concatenate(x) for x in zip((member[~visit], centre[~visit], mark[~visit]), *drawn))
+    order = np.lexsort((member, centre))
+    member, centre, mark = member[order], centre[order], mark[order]
+    first = np.flatnonzero(np.concatenate(([True], (centre[1:] != centre[:-1]) | (member[1:] != member[:-1]))))
+    mark = np.bitwise_or.reduceat(mark, first)
+    member, centre = member[first], centre[first]
+    owned, new = mark & _OWN > 0, mark & _NEW > 0
+    lot = (ids[member] ^ centre) * 0x5851F42D4C957F2D
+    order = np.lexsort((lot, ~new, ~owned, centre))
+    member, centre, owned, new = member[order], centre[order], owned[order], new[order]
+    start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
+    size = np.diff(np.append(start, len(centre)))
+    place = np.arange(len(centre)) - np.repeat(start + np.add.reduceat(owned, start, dtype=np.int64), size)
+    # visitors of the first round are not sampled
+    keep = owned | (place < REVERSE + (VISITS * MEETINGS if drawn else 0))
+    return centre[keep], member[keep], new[keep]
+
+
+def _meet(dim: int, keep: int):
     """One block of a round: the vectors that belong to each centre of the block are compared, pairs of two old ones aside.
 
-    Rows: (p, u, pu, q, least, centres, fresh, h, known): a vector, the similarity it has to beat, the centres it belongs
-    to, and hashes of itself and of the links it has, which aren't sent again. A centre belongs to itself. Memory: the vectors of the block and what was sent to it, which sampling bounds.
+    Rows: what ``_send`` sends. Links that a vector has already aren't sent again. Memory: the vectors of the block and those
+    sent to it, which sampling and HUB bound.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, least, h = (table.column(c).to_numpy() for c in ("u", "pu", "least", "h"))
-        lists = table.column("known").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        known, row = np.zeros((len(ids), max(1, n.max(initial=0))), np.int64), np.repeat(np.arange(len(ids)), n)
-        known[:] = 1 << 40  # no hash
-        known[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy(zero_copy_only=False)
-        x, short = _coarse(table.column("q"), dim)
-        lists = table.column("centres").combine_chunks()
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        centre = lists.flatten().to_numpy(zero_copy_only=False)
-        fresh = table.column("fresh").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        member = np.repeat(np.arange(len(ids)), n)
-        order = np.lexsort((~fresh, member, centre))
-        centre, member, fresh = centre[order], member[order], fresh[order]
-        once = np.ones(len(centre), bool)
-        once[1:] = (centre[1:] != centre[:-1]) | (member[1:] != member[:-1])
-        centre, member, fresh = centre[once], member[once], fresh[once]
-        cut = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1], [True]))) if len(centre) else np.zeros(1, np.int64)
-        start, size = cut[:-1], np.diff(cut)
-        live = (np.add.reduceat(fresh, start, dtype=np.int64) > 0) & (size > 1) if len(start) else np.zeros(0, bool)
+        ids, own, least = (table.column(c).to_numpy() for c in ("u", "pu", "least"))
+        x, short = _coarse(table.column("c"), dim)
+        row, had = _lists(table.column("known"))
+        known = np.full((len(ids), keep), _ANY)
+        known[row, np.arange(len(row)) - np.searchsorted(row, row)] = had.to_numpy(zero_copy_only=False)
+        centre, member, fresh = _seats(table, ids, own)
+        start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
+        size = np.diff(np.append(start, len(centre)))
+        live = (np.add.reduceat(fresh, start, dtype=np.int64) > 0) & (size > 1)
         start, size = start[live], size[live]
         order = np.argsort(size, kind="stable")
         start, size, found, at = start[order], size[order], [], 0
         while at < len(start):  # centres of about the same number of members at once
-            room = 4_000_000
             to = at + 1
-            while to < len(start) and (to - at + 1) * int(size[to]) ** 2 <= room and (size[to] <= size[at] + 4 or to - at < 64):
+            while to < len(start) and (to - at + 1) * int(size[to]) ** 2 <= 4_000_000 and (size[to] <= size[at] + 4 or to - at < 64):
                 to += 1
             wide = int(size[to - 1])
-            slot = start[at:to, None] + np.arange(wide)
             real = np.arange(wide) < size[at:to, None]
-            slot = np.where(real, slot, start[at:to, None])
+            slot = np.where(real, start[at:to, None] + np.arange(wide), start[at:to, None])
             m, new = member[slot], fresh[slot] & real
             s = np.matmul(x[m], x[m].transpose(0, 2, 1)) * (short[m][:, :, None] * short[m][:, None, :])
-            ok = (s > least[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :]
-            if floor > -1:
-                ok &= s >= floor
-            c, i, j = np.nonzero(ok)
+            c, i, j = np.nonzero((s > least[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :])
             u, v = m[c, i], m[c, j]
             other = np.flatnonzero(u != v)
-            other = other[~(known[u[other]] == h[v[other], None]).any(1)]
+            other = other[~(known[u[other]] == ids[v[other], None]).any(1)]
             found.append(Links(u[other], v[other], own[v[other]], s[c[other], i[other], j[other]]))
             if sum(len(f.u) for f in found) > 2_000_000:
                 found = [best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT))]
@@ -229,6 +300,15 @@ def _meet(dim: int, keep: int, floor: float):
     return run
 
 
+def _forget(old: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more, and let the driver drop the shuffles behind it."""
+    spark = old.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    spark._jvm.java.lang.System.gc()
+
+
 class NeighbourGraph:
     """The neighbour graph of a table of vectors, built by NN-descent.
 
@@ -238,8 +318,8 @@ class NeighbourGraph:
 
     Null, zero, not finite and wrong-length vectors and null keys take no part; ``dim`` None takes the most frequent length.
     Repeated rows count once, equal vectors are one node. ``space``: a column that keeps tables apart (vectors of different
-    spaces are never linked). The rounds go on until the graph stands still; at a hub only a sample of those that have it for
-    a neighbour meets (new ones first), and a bucket over WINDOW begins with links within windows: no vector is left out,
+    spaces are never linked). The rounds go on until the graph stands still; at a vector all its neighbours meet, and a sample of
+    those that have it for one (new ones first), and a bucket over WINDOW begins with links within windows: no vector is left out,
     the links that miss are found over other neighbours.
     """
 
@@ -285,44 +365,22 @@ class NeighbourGraph:
         old = F.transform("more", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
         return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "c", "space").join(links.withColumn("more", old), "u", "left").withColumnRenamed("more", "links"))
 
-    def _strangers(self, graph: DataFrame) -> DataFrame:
-        """(x, c, p, fresh): each vector as a visitor of random vectors of its space, VISITS blocks of them, MEETINGS in each.
-
-        The vectors of a block and space are numbered at random, visitors draw numbers, so it takes one join.
-        """
-        numbered = graph.select("u", "space", F.col("pu").alias("p"), (F.row_number().over(W.partitionBy("pu", "space").orderBy(F.xxhash64("u", F.lit(11)))) - 1).alias("no"))
-        sized = numbered.groupBy("p", "space").agg((F.max("no") + 1).alias("n"))
-        draw = lambda what, most, a, b: F.pmod(F.xxhash64("u", a, b, F.lit(what)), most)
-        visits = graph.select("u", "space", F.explode(F.sequence(F.lit(1), F.lit(VISITS))).alias("i")).select("u", "space", draw(1, F.lit(self.blocks), F.col("i"), F.lit(0)).cast("int").alias("p"))
-        seats = visits.join(F.broadcast(sized) if self.blocks <= 100_000 else sized, ["p", "space"])
-        seats = seats.select("u", "space", "p", "n", F.explode(F.sequence(F.lit(1), F.lit(MEETINGS))).alias("k")).select(F.col("u").alias("x"), "space", "p", draw(2, F.col("n"), F.col("p"), F.col("k")).cast("int").alias("no"))
-        return seats.join(numbered.withColumnRenamed("u", "centre"), ["p", "space", "no"]).where("x <> centre").select("x", "centre", "p", F.lit(True).alias("fresh"))
-
     def _descend(self, graph: DataFrame, rounds: int) -> DataFrame:
-        strangers = self._strangers(graph)
-        for _ in range(rounds):
-            links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.pv").alias("pv"), F.col("l.fresh").alias("fresh"))
-            # of the vectors that have v for a neighbour a sample meets at v, new ones first
-            back = links.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy(F.desc("fresh"), F.xxhash64("u", "v")))).where(f"n <= {REVERSE}").drop("n")
-            # at a centre meet its neighbours, all of them, and that sample of those that have it
-            seats = back.select(F.col("u").alias("x"), F.col("v").alias("centre"), F.col("pv").alias("p"), "fresh").union(links.select(F.col("v").alias("x"), F.col("u").alias("centre"), F.col("pu").alias("p"), "fresh"))
-            if strangers is not None:
-                seats = seats.union(strangers)
-            own = graph.select(F.col("u").alias("x"), F.col("u").alias("centre"), F.col("pu").alias("p"), F.lit(False).alias("fresh"))
-            seats = seats.union(own)
-            if strangers is None:  # centres where nobody is new have nothing to compare
-                seats = seats.join(seats.where("fresh").select("centre").distinct(), "centre", "left_semi")
-            sent = seats.repartition("x").groupBy("x", "p").agg(F.collect_list("centre").alias("centres"), F.collect_list("fresh").alias("fresh"))
-            least = F.when(F.size("links") >= self.keep, -F.element_at("links", -1).far).otherwise(F.lit(-2.0).cast("float"))
-            known = graph.select(F.col("u").alias("x"), "pu", "c", least.alias("least"), F.hash("u").alias("h"), F.transform(F.coalesce("links", F.array()), lambda x: F.hash(x.v)).alias("known"))
-            moved = sent.join(known, "x").select("p", F.col("x").alias("u"), "pu", F.col("c").alias("q"), "least", "centres", "fresh", "h", "known")
-            found = self._ranked(moved.groupBy("p").applyInArrow(_meet(self.dim, self.keep, -1.0), _LINK))
+        schema = _SENT
+        for no in range(rounds):
+            links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.fresh").alias("fresh"))
+            probe = links.where(F.pmod(F.xxhash64("u", "v"), F.lit(PROBE)) == 0).groupBy("v").agg((F.count(F.lit(1)) * PROBE).alias("n")).where(f"n > {HUB}")
+            told = links.join(broadcast_if_small(materialize(probe)), "v", "left").where(f"n IS NULL OR pmod(xxhash64(v, u), n) < {HUB}")
+            back = told.groupBy("v").agg(F.collect_list(F.struct("u", "pu", "fresh")).alias("back")).withColumnRenamed("v", "u")
+            ready = graph.join(back, "u", "left").select("u", "pu", "space", "c", "links", "back")
+            met = ready.mapInArrow(_send(self.keep, self.blocks, 0 if no else VISITS), schema).groupBy("p").applyInArrow(_meet(self.dim, self.keep), _LINK)
+            found = self._ranked(met)
             # what is there was met in this round, or left out by its sample, and is old from now on
             have = F.transform(F.coalesce("links", F.array()), lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
-            news = F.filter(F.coalesce("more", F.array()), lambda m: ~F.exists("have", lambda h: h.v == m.v))
-            both = F.slice(F.array_sort(F.concat("have", news)), 1, self.keep)
-            graph = materialize(graph.join(found, "u", "left").withColumn("have", have).select("u", "pu", "c", "space", both.alias("links")))
-            strangers = None
+            both = F.slice(F.array_sort(F.concat(have, F.coalesce("more", F.array()))), 1, self.keep)
+            after = materialize(graph.join(found, "u", "left").select("u", "pu", "c", "space", both.alias("links")))
+            _forget(graph)
+            graph = after
             r = graph.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()
             self.shares.append((r["new"] or 0) / max(1, r["all"] or 0))
             if self.shares[-1] < SETTLED:
