@@ -1,8 +1,8 @@
 """Problem 1: texts that are nearly the same.
 
-Each distinct set of word shingles gets fingerprints of 192 bits: 64 leading bits mixed of two min-hashes, in which no bit
+Each distinct set of word shingles gets fingerprints of 192 bits: 64 leading bits mixed of three min-hashes, in which no bit
 may differ, then two bits of each of 64 min-hashes, so that the expected Hamming distance of two sets is 64 times one minus
-their similarity. There are TRIES binary tries over all sets, each with two other min-hashes in front. Every trie is joined
+their similarity. There are TRIES binary tries over all sets, each with three other min-hashes in front. Every trie is joined
 with itself: from the root, pairs of nodes are walked together, differing bits add up, and a pair is given up when they
 exceed the error budget. What comes out is checked exactly on the shingles.
 """
@@ -21,12 +21,14 @@ from quillon.operators.pairs import grouped_pairs
 from quillon.session import broadcast_if_small, materialize
 
 #: Min-hashes, those in front of one trie, tries. Two sets of similarity s share no trie's leading bits with probability
-#: (1 - s^2)^20: 1.4e-6 at 0.70, 1e-9 at 0.80.
-HASHES, LEAD, TRIES = 64, 2, 20
+#: about MISS.
+HASHES, LEAD, TRIES = 64, 3, 36
 #: Standard deviations above the expected distance that the error budget leaves.
 SLACK = 5.0
 #: Members below one leading word that one task walks; more are cut into blocks that meet in pairs.
 HOT = 8192
+#: Node pairs that are walked in step; more are walked a part at a time, which bounds the memory.
+AT_ONCE = 1_000_000
 #: Bytes of a shingle's hash that the exact check keeps (a false match within a pair of texts: about 1e-8).
 KEPT = 5
 
@@ -37,6 +39,13 @@ def error_budget(similarity: float) -> int:
     return int(HASHES * miss + SLACK * np.sqrt(HASHES * (1.5 * miss - miss * miss)))
 
 
+def leading(trie: int) -> list[int]:
+    """The min-hashes in front of a trie: in one round all are used, in the next each with others."""
+    per = HASHES // LEAD
+    turn, at = divmod(trie, per)
+    return [at * LEAD + k for k in range(LEAD)] if not turn else [(at + k * (turn + 6)) % per + k * per for k in range(LEAD)]
+
+
 def min_hashes(s: Words) -> np.ndarray:
     """HASHES rows of min-hashes, a column for each text; every text has at least one shingle."""
     seeds = mix(np.arange(2 * HASHES, dtype=np.uint64))
@@ -72,8 +81,8 @@ def _prepare(size: int, least_words: int, linked_words: int):
                 bands = np.empty((TRIES, long.size), np.uint64)
                 for t in range(TRIES):
                     bands[t] = scope ^ np.uint64(t)
-                    for k in range(LEAD):
-                        bands[t] = mix(bands[t] ^ m[t * LEAD + k])
+                    for k in leading(t):
+                        bands[t] = mix(bands[t] ^ m[k])
                 raw = np.ascontiguousarray(s.hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), long.size, [None, pa.py_buffer((s.offs * KEPT).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
                 take = pa.array(long)
@@ -131,19 +140,25 @@ def trie_join(words: list[np.ndarray], a: tuple, b: tuple, budgets: list[int], w
     the rest of their bits is counted at once.
     """
     alo, ahi, blo, bhi = (np.asarray(x, np.int64) for x in (*a, *b))
-    diff, found = np.zeros(alo.size, np.int64), []
-    depths = 64 * len(words)
-    for depth in range(depths + 1):
+    depths, found, none = 64 * len(words), [], np.zeros(0, np.int64)
+    zeros = {}
+    todo = [(0, alo, ahi, blo, bhi, np.zeros(alo.size, np.int64))]
+    while todo:
+        depth, alo, ahi, blo, bhi, diff = todo.pop()
+        if alo.size > AT_ONCE:  # a part of the node pairs at a time, to the end
+            half = alo.size // 2
+            todo += [(depth, *(x[part] for x in (alo, ahi, blo, bhi, diff))) for part in (slice(half, None), slice(half))]
+            continue
         self_ = (alo == blo) & (ahi == bhi)
-        leaf = ((ahi - alo) * (bhi - blo) == 1) & ~self_
         if depth == depths:  # fingerprints that are equal, or near: all pairs of the two nodes
             n, wide = (ahi - alo) * (bhi - blo), bhi - blo
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             i, j = np.repeat(alo, n) + place // np.repeat(wide, n), np.repeat(blo, n) + place % np.repeat(wide, n)
             keep = ~np.repeat(self_, n) | (i < j)
             found.append((i[keep], j[keep]))
-            break
+            continue
         w, bit = depth // 64, 63 - depth % 64
+        leaf = ((ahi - alo) * (bhi - blo) == 1) & ~self_
         if leaf.any():
             i, j, sum_ = alo[leaf], blo[leaf], diff[leaf]
             ok = np.ones(i.size, bool)
@@ -152,11 +167,13 @@ def trie_join(words: list[np.ndarray], a: tuple, b: tuple, budgets: list[int], w
                 sum_ = sum_ + np.bitwise_count(x & np.uint64((2 << bit) - 1) if k == w else x)
                 ok &= sum_ <= budgets[k]
             found.append((i[ok], j[ok]))
-        alo, ahi, blo, bhi, diff, self_ = (x[~leaf] for x in (alo, ahi, blo, bhi, diff, self_))
+            alo, ahi, blo, bhi, diff, self_ = (x[~leaf] for x in (alo, ahi, blo, bhi, diff, self_))
         if not alo.size:
-            break
-        zeros = np.concatenate(([0], np.cumsum((words[w] >> np.uint64(bit)) & np.uint64(1) == 0)))
-        amid, bmid = alo + zeros[ahi] - zeros[alo], blo + zeros[bhi] - zeros[blo]
+            continue
+        if depth not in zeros:
+            zeros[depth] = np.concatenate(([0], np.cumsum((words[w] >> np.uint64(bit)) & np.uint64(1) == 0, dtype=np.int32)))
+        z = zeros[depth]
+        amid, bmid = alo + z[ahi] - z[alo], blo + z[bhi] - z[blo]
         other = ~self_
         parts = [(alo, amid, blo, bmid, diff), (amid, ahi, bmid, bhi, diff)]
         if budgets[w]:
@@ -167,8 +184,8 @@ def trie_join(words: list[np.ndarray], a: tuple, b: tuple, budgets: list[int], w
         if walked:
             walked.visited += int(real.sum())
             walked.pruned += int((real & ~keep).sum())
-        alo, ahi, blo, bhi, diff = (x[keep] for x in (alo, ahi, blo, bhi, diff))
-    none = np.zeros(0, np.int64)
+        if keep.any():
+            todo.append((depth + 1, *(x[keep] for x in (alo, ahi, blo, bhi, diff))))
     return (np.concatenate([x for x, _ in found] or [none]), np.concatenate([x for _, x in found] or [none]))
 
 
