@@ -20,11 +20,11 @@ from quillon.operators.components import components
 from quillon.operators.pairs import grouped_pairs
 from quillon.session import broadcast_if_small, materialize
 
-#: Min-hashes, those in front of one trie, tries. Two sets of similarity s share no trie's leading bits with probability
-#: about MISS.
-HASHES, LEAD, TRIES = 64, 3, 36
+#: Min-hashes, those in front of one trie, tries. Two sets of similarity s share no trie's leading bits with a probability of
+#: about (1 - s^3)^28: 1e-5 at 0.70, 4e-7 at 0.75, 1e-9 at 0.80.
+HASHES, LEAD, TRIES = 64, 3, 28
 #: Standard deviations above the expected distance that the error budget leaves.
-SLACK = 5.0
+SLACK = 4.5
 #: Members below one leading word that one task walks; more are cut into blocks that meet in pairs.
 HOT = 8192
 #: Node pairs that are walked in step; more are walked a part at a time, which bounds the memory.
@@ -56,7 +56,7 @@ def min_hashes(s: Words) -> np.ndarray:
 
 
 def _prepare(size: int, least_words: int, linked_words: int):
-    names = ["scope", "key", "id", "hi", "lo", "bands", "blob"]
+    names = ["scope", "key", "id", "hi", "lo", "size", "bands", "blob"]
 
     def run(batches):
         for batch in batches:
@@ -88,7 +88,7 @@ def _prepare(size: int, least_words: int, linked_words: int):
                 take = pa.array(long)
                 flat = pa.array(np.ascontiguousarray(bands.T[linked]).reshape(-1).view(np.int64))
                 ends = np.concatenate(([0], np.cumsum(linked) * TRIES))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (own, hi, lo)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), blob], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), *(pa.array(x.view(np.int64)) for x in (own, hi, lo)), pa.array(np.diff(s.offs).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), blob], names=names)
 
     return run
 
@@ -189,13 +189,22 @@ def trie_join(words: list[np.ndarray], a: tuple, b: tuple, budgets: list[int], w
     return (np.concatenate([x for x, _ in found] or [none]), np.concatenate([x for _, x in found] or [none]))
 
 
-_OUT = "a long, b long, band long, hi long, lo long, block int"
+_OUT = "a long, b long, band long, hi long, lo long, size int, block int"
 
 
-def _rows(a, b, band=None, hi=None, lo=None, block=None):
+def _rows(a, b, band=None, hi=None, lo=None, size=None, block=None):
     n = len(a)
     fill = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), fill(b, pa.int64()), fill(band, pa.int64()), fill(hi, pa.int64()), fill(lo, pa.int64()), fill(block, pa.int32())], names=["a", "b", "band", "hi", "lo", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), *(fill(x, pa.int64()) for x in (b, band, hi, lo)), fill(size, pa.int32()), fill(block, pa.int32())], names=[x.split()[0] for x in _OUT.split(", ")])
+
+
+def _candidates(i, j, ids, sizes, similarity: float):
+    """Pairs of different sets whose sizes allow the similarity, the lesser id first, each once."""
+    small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+    keep = (small >= similarity * large - 1e-9) & (ids[i] != ids[j])
+    a, b = np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]
+    one = np.unique(np.stack([a, b], 1), axis=0)
+    return one[:, 0], one[:, 1]
 
 
 def _unsigned(x: np.ndarray) -> np.ndarray:
@@ -203,27 +212,31 @@ def _unsigned(x: np.ndarray) -> np.ndarray:
     return x.view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _tries(budget: int):
+def _tries(budget: int, similarity: float):
     """One shard of the tries, sorted by (band, hi, lo), to candidate pairs; members below one leading word that are more
     than HOT come out as they are, with their block."""
 
-    def pairs(band, hi, lo, ids):
-        root = ([0], [len(ids)])
-        i, j = trie_join([_unsigned(x) for x in (band, hi, lo)], root, root, [0, budget, budget])
-        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-        one = np.unique(np.stack([a, b], 1)[a != b], axis=0)
-        return _rows(one[:, 0], one[:, 1]) if len(one) else None
+    def finish(band, hi, lo, ids, sizes):
+        cut = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
+        wide = np.diff(cut) > HOT
+        for s, e in zip(cut[:-1][wide], cut[1:][wide]):
+            yield _rows(ids[s:e], None, band[s:e], hi[s:e], lo[s:e], sizes[s:e], np.arange(e - s) // HOT)
+        keep = ~np.repeat(wide, np.diff(cut))
+        if keep.any():
+            root = ([0], [int(keep.sum())])
+            i, j = trie_join([_unsigned(x[keep]) for x in (band, hi, lo)], root, root, [0, budget, budget])
+            yield _rows(*_candidates(i, j, ids[keep], sizes[keep], similarity))
 
     def run(batches):
         held, size, hot, seen = [], 0, None, 0
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if not len(cols[0]):
                 continue
-            if hot is not None:  # the rest of a trie that is too large
+            if hot is not None:  # the rest of those below a leading word that has too many
                 n = int(np.searchsorted(cols[0], hot, "right"))
                 if n:
-                    yield _rows(cols[3][:n], None, cols[0][:n], cols[1][:n], cols[2][:n], (seen + np.arange(n)) // HOT)
+                    yield _rows(cols[3][:n], None, *(c[:n] for c in cols[:3]), cols[4][:n], (seen + np.arange(n)) // HOT)
                     seen += n
                 if n == len(cols[0]):
                     continue
@@ -232,63 +245,53 @@ def _tries(budget: int):
             size += len(cols[0])
             if size < 4 * HOT:
                 continue
-            band, hi, lo, ids = (np.concatenate(x) for x in zip(*held))
-            last = int(np.searchsorted(band, band[-1]))
+            cols = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
             if size - last > HOT:
-                hot, seen = band[-1], size - last
-                yield _rows(ids[last:], None, band[last:], hi[last:], lo[last:], np.arange(seen) // HOT)
+                hot, seen = cols[0][-1], size - last
+                yield _rows(cols[3][last:], None, *(c[last:] for c in cols[:3]), cols[4][last:], np.arange(seen) // HOT)
             if last:
-                yield from _finish(band[:last], hi[:last], lo[:last], ids[:last])
-            held = [] if hot is not None else [[x[last:] for x in (band, hi, lo, ids)]]
+                yield from finish(*(c[:last] for c in cols))
+            held = [] if hot is not None else [[c[last:] for c in cols]]
             size = 0 if hot is not None else size - last
         if held:
-            yield from _finish(*(np.concatenate(x) for x in zip(*held)))
-
-    def _finish(band, hi, lo, ids):
-        cut = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1], [True])))
-        wide = np.diff(cut) > HOT
-        for s, e in zip(cut[:-1][wide], cut[1:][wide]):
-            yield _rows(ids[s:e], None, band[s:e], hi[s:e], lo[s:e], np.arange(e - s) // HOT)
-        keep = ~np.repeat(wide, np.diff(cut))
-        if keep.any():
-            out = pairs(band[keep], hi[keep], lo[keep], ids[keep])
-            if out is not None:
-                yield out
+            yield from finish(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def _blocks(budget: int):
-    """One pair of blocks of a large trie: (band, x, y) with rows (hi, lo, a, side)."""
+def _blocks(budget: int, similarity: float):
+    """One pair of blocks of a large trie: (band, x, y) with rows (hi, lo, a, size, block)."""
 
     def run(table: pa.Table) -> pa.Table:
-        hi, lo, ids, block = (table.column(c).to_numpy() for c in ("hi", "lo", "a", "block"))
+        hi, lo, ids, sizes, block = (table.column(c).to_numpy() for c in ("hi", "lo", "a", "size", "block"))
         x = table.column("x")[0].as_py()
         order = np.lexsort((lo, hi, block != x))
         hi, lo = (_unsigned(c[order]) for c in (hi, lo))
-        ids, n = ids[order], int((block == x).sum())
+        ids, sizes, n = ids[order], sizes[order], int((block == x).sum())
         one = ([0], [n])
         i, j = trie_join([hi, lo], one, one if n == len(ids) else ([n], [len(ids)]), [budget, budget])
-        return pa.table({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+        a, b = _candidates(i, j, ids, sizes, similarity)
+        return pa.table({"a": a, "b": b})
 
     return run
 
 
-def similar_sets(sets: DataFrame, budget: int) -> DataFrame:
-    """(a, b): ids of the candidate pairs, by binary trie self-joins. ``sets``: (id, hi, lo, bands), one row a set.
+def similar_sets(sets: DataFrame, budget: int, similarity: float = 0.0) -> DataFrame:
+    """(a, b): ids of the candidate pairs, by binary trie self-joins. ``sets``: (id, hi, lo, size, bands), one row a set.
 
     ``bands`` are the leading words of a set in each trie. The budget is 0 there, so a trie falls apart into shards by them.
     """
-    placed = sets.select(F.explode("bands").alias("band"), "hi", "lo", "id").repartition("band").sortWithinPartitions("band", "hi", "lo")
-    out = materialize(placed.mapInArrow(_tries(budget), _OUT))
+    placed = sets.select(F.explode("bands").alias("band"), "hi", "lo", "id", "size").repartition("band").sortWithinPartitions("band", "hi", "lo")
+    out = materialize(placed.mapInArrow(_tries(budget, similarity), _OUT))
     near = out.where("b IS NOT NULL").select("a", "b")
-    hot = out.where("b IS NULL").select("a", "band", "hi", "lo", "block")
+    hot = out.where("b IS NULL").select("a", "band", "hi", "lo", "size", "block")
     if not hot.isEmpty():
         count = hot.groupBy("band").agg((F.max("block") + 1).alias("n"))
         pair = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-        met = hot.join(count, "band").select("a", "band", "hi", "lo", "block", F.explode(pair).alias("p")).select("a", "band", "hi", "lo", "block", "p.x", "p.y")
-        near = near.unionByName(met.groupBy("band", "x", "y").applyInArrow(_blocks(budget), "a long, b long"))
-    return near.where("a <> b").distinct()
+        met = hot.join(count, "band").select("a", "band", "hi", "lo", "size", "block", F.explode(pair).alias("p")).select("a", "band", "hi", "lo", "size", "block", "p.x", "p.y")
+        near = near.unionByName(met.groupBy("band", "x", "y").applyInArrow(_blocks(budget, similarity), "a long, b long"))
+    return near.distinct()
 
 
 def _overlaps(similarity: float):
@@ -326,10 +329,10 @@ class NearDuplicates:
         keyed = df.select(F.col(scope).cast("string").alias("scope"), F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).where("key IS NOT NULL")
         given = keyed.where("text IS NOT NULL")
         self.keys = keyed.select("scope", "key").distinct() if least_words <= 1 else None
-        made = materialize(given.mapInArrow(_prepare(size, least_words, linked_words), "scope string, key string, id long, hi long, lo long, bands array<long>, blob binary"))
+        made = materialize(given.mapInArrow(_prepare(size, least_words, linked_words), "scope string, key string, id long, hi long, lo long, size int, bands array<long>, blob binary"))
         self.members = materialize(made.select("scope", "key", "id").distinct())
-        sets = made.select("id", "hi", "lo", "bands").groupBy("id").agg(*(F.first(c).alias(c) for c in ("hi", "lo", "bands")))
-        near = materialize(similar_sets(sets, error_budget(similarity)))
+        sets = made.select("id", "hi", "lo", "size", "bands").groupBy("id").agg(*(F.first(c).alias(c) for c in ("hi", "lo", "size", "bands")))
+        near = materialize(similar_sets(sets, error_budget(similarity), similarity))
         wanted = broadcast_if_small(materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
         blobs = made.select("id", "blob").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("blob").alias("blob"))
         blobs = materialize(blobs)

@@ -8,6 +8,7 @@ numbers; the links that count are compared again by 16-bit ones. New vectors are
 
 from __future__ import annotations
 
+import gc
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +22,7 @@ from quillon.session import broadcast_if_small, materialize
 #: Neighbours kept of each vector while the graph is built, and vectors sampled of those that have it for a neighbour.
 KEEP, REVERSE = 16, 16
 #: In the first round each vector visits so many random blocks, and so many random vectors in each.
-VISITS, MEETINGS = 3, 10
+VISITS, MEETINGS = 3, 7
 #: Vectors that have one for a neighbour from which on only so many of them, chosen by a hash, are told to meet there; found on
 #: one link in PROBE.
 HUB, PROBE = 1024, 16
@@ -177,7 +178,13 @@ def _bucket_links(dim: int, keep: int):
 _ANY = np.iinfo(np.int64).min
 #: Marks of a vector at a centre: new there; one of the centre's own neighbours (all of those meet, of the others a sample).
 _NEW, _OWN = 1, 2
-_SENT = "p int, u long, pu int, space int, c binary, least float, centres array<long>, marks array<byte>, known array<long>"
+_SENT = "p int, u long, pu int, space int, c binary, least float, centres array<long>, marks array<byte>, known array<short>"
+
+
+def _mark(ids: np.ndarray, no: int) -> np.ndarray:
+    """16 bits of an id that tell in round ``no`` which links a vector has; other ids fall together in other rounds."""
+    salt = np.uint64(0x9E3779B97F4A7C15 * (no + 1) & 0xFFFFFFFFFFFFFFFF)
+    return (((ids.astype(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +198,14 @@ def _ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), pa.array(values, kind))
 
 
-def _send(keep: int, blocks: int, visits: int):
+def _send(keep: int, blocks: int, no: int):
     """Rows (u, pu, space, c, links, back) to one row for each block where the vector has to be, with the centres it meets at.
 
     A vector meets at itself, at its neighbours, and at those that have it for a neighbour (``back``).
     """
 
+    visits = 0 if no else VISITS
+
     def run(batches):
         rng = np.random.default_rng(3)
         for whole in batches:
@@ -219,7 +228,7 @@ def _send(keep: int, blocks: int, visits: int):
                 least = np.full(n, -2, np.float32)
                 full = np.flatnonzero(count >= keep)
                 least[full] = -far[np.cumsum(count)[full] - 1]
-                known = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(v, pa.int64()))
+                known = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_mark(v, no)))
                 at = pa.array(rows[cut])
                 yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), *(b.column(i).take(at) for i in range(4)), pa.array(least).take(at), _ragged(centre, cut, pa.int64()), _ragged(mark, cut, pa.int8()), known.take(at)], names=[x.split()[0] for x in _SENT.split(", ")])
 
@@ -257,7 +266,7 @@ def _seats(table: pa.Table, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return centre[keep], member[keep], new[keep]
 
 
-def _meet(dim: int, keep: int):
+def _meet(dim: int, keep: int, no: int):
     """One block of a round: the vectors that belong to each centre of the block are compared, pairs of two old ones aside.
 
     Rows: what ``_send`` sends. Links that a vector has already aren't sent again. Memory: the vectors of the block and those
@@ -268,7 +277,7 @@ def _meet(dim: int, keep: int):
         ids, own, least = (table.column(c).to_numpy() for c in ("u", "pu", "least"))
         x, short = _coarse(table.column("c"), dim)
         row, had = _lists(table.column("known"))
-        known = np.full((len(ids), keep), _ANY)
+        known, tag = np.full((len(ids), keep), 1 << 20), _mark(ids, no)
         known[row, np.arange(len(row)) - np.searchsorted(row, row)] = had.to_numpy(zero_copy_only=False)
         centre, member, fresh = _seats(table, ids, own)
         start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
@@ -289,7 +298,7 @@ def _meet(dim: int, keep: int):
             c, i, j = np.nonzero((s > least[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :])
             u, v = m[c, i], m[c, j]
             other = np.flatnonzero(u != v)
-            other = other[~(known[u[other]] == ids[v[other], None]).any(1)]
+            other = other[~(known[u[other]] == tag[v[other], None]).any(1)]
             found.append(Links(u[other], v[other], own[v[other]], s[c[other], i[other], j[other]]))
             if sum(len(f.u) for f in found) > 2_000_000:
                 found = [best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT))]
@@ -306,6 +315,7 @@ def _forget(old: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
         p = spark._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
     spark._jvm.java.lang.System.gc()
 
 
@@ -341,7 +351,7 @@ class NeighbourGraph:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), _binary(coarse(q)), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "q", "c", "code"])
 
         made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, c binary, code long").withColumn("id", F.xxhash64("space", "q")))
-        self.members = made.select("id", "key").distinct()
+        self.members = materialize(made.select("id", "key").distinct())
         distinct = made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "c", "space", "code")))
         # a block is a set of whole buckets; a bucket of more than a block is spread
         bucket = F.shiftright("code", 16)
@@ -349,6 +359,7 @@ class NeighbourGraph:
         split = F.when(F.col("n").isNotNull(), F.pmod("id", F.ceil(F.col("n") / BLOCK))).otherwise(0)
         placed = distinct.withColumn("bucket", bucket).join(hot, "bucket", "left")
         self.vectors = materialize(placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(self.blocks)).cast("int").alias("p"), "q", "c", "space", "code"))
+        _forget(made)
         first = self.members.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(f"n <= {keep}")
         self.first = first.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         self.shares: list[float] = []
@@ -365,20 +376,21 @@ class NeighbourGraph:
         old = F.transform("more", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
         return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "c", "space").join(links.withColumn("more", old), "u", "left").withColumnRenamed("more", "links"))
 
+    def _round(self, graph: DataFrame, no: int) -> DataFrame:
+        links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.fresh").alias("fresh"))
+        probe = links.where(F.pmod(F.xxhash64("u", "v"), F.lit(PROBE)) == 0).groupBy("v").agg((F.count(F.lit(1)) * PROBE).alias("n")).where(f"n > {HUB}")
+        told = links.join(broadcast_if_small(materialize(probe)), "v", "left").where(f"n IS NULL OR pmod(xxhash64(v, u), n) < {HUB}")
+        back = told.groupBy("v").agg(F.collect_list(F.struct("u", "pu", "fresh")).alias("back")).withColumnRenamed("v", "u")
+        ready = graph.join(back, "u", "left").select("u", "pu", "space", "c", "links", "back")
+        met = ready.mapInArrow(_send(self.keep, self.blocks, no), _SENT).groupBy("p").applyInArrow(_meet(self.dim, self.keep, no), _LINK)
+        # what is there was met in this round, or left out by its sample, and is old from now on
+        have = F.transform(F.coalesce("links", F.array()), lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
+        both = F.slice(F.array_sort(F.concat(have, F.coalesce("more", F.array()))), 1, self.keep)
+        return materialize(graph.join(self._ranked(met), "u", "left").select("u", "pu", "c", "space", both.alias("links")))
+
     def _descend(self, graph: DataFrame, rounds: int) -> DataFrame:
-        schema = _SENT
         for no in range(rounds):
-            links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.fresh").alias("fresh"))
-            probe = links.where(F.pmod(F.xxhash64("u", "v"), F.lit(PROBE)) == 0).groupBy("v").agg((F.count(F.lit(1)) * PROBE).alias("n")).where(f"n > {HUB}")
-            told = links.join(broadcast_if_small(materialize(probe)), "v", "left").where(f"n IS NULL OR pmod(xxhash64(v, u), n) < {HUB}")
-            back = told.groupBy("v").agg(F.collect_list(F.struct("u", "pu", "fresh")).alias("back")).withColumnRenamed("v", "u")
-            ready = graph.join(back, "u", "left").select("u", "pu", "space", "c", "links", "back")
-            met = ready.mapInArrow(_send(self.keep, self.blocks, 0 if no else VISITS), schema).groupBy("p").applyInArrow(_meet(self.dim, self.keep), _LINK)
-            found = self._ranked(met)
-            # what is there was met in this round, or left out by its sample, and is old from now on
-            have = F.transform(F.coalesce("links", F.array()), lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
-            both = F.slice(F.array_sort(F.concat(have, F.coalesce("more", F.array()))), 1, self.keep)
-            after = materialize(graph.join(found, "u", "left").select("u", "pu", "c", "space", both.alias("links")))
+            after = self._round(graph, no)
             _forget(graph)
             graph = after
             r = graph.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()

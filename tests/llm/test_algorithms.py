@@ -49,8 +49,8 @@ def test_hot_trie_is_cut_into_blocks(spark):
     """All sets in one band: the trie is larger than HOT, so blocks meet in pairs, and no pair is lost."""
     rng = np.random.default_rng(0)
     base = rng.integers(-(2**62), 2**62, (50, 2))
-    ids = [(i, int(base[i % 50][0] ^ (1 << (i % 7))), int(base[i % 50][1]), [1]) for i in range(700)]
-    df = spark.createDataFrame(ids, "id long, hi long, lo long, bands array<long>")
+    ids = [(i, int(base[i % 50][0] ^ (1 << (i % 7))), int(base[i % 50][1]), 9, [1]) for i in range(700)]
+    df = spark.createDataFrame(ids, "id long, hi long, lo long, size int, bands array<long>")
     want = {(i, j) for i in range(700) for j in range(i + 1, 700) if i % 50 == j % 50}
     kept, neardup.HOT = neardup.HOT, 64
     try:
