@@ -9,6 +9,7 @@ numbers; the links that count are compared again by 16-bit ones. New vectors are
 from __future__ import annotations
 
 import gc
+import time
 from typing import NamedTuple
 
 import numpy as np
@@ -316,6 +317,7 @@ def _forget(old: DataFrame) -> None:
         p = spark._jvm.org.apache.hadoop.fs.Path(folder)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     gc.collect()
+    time.sleep(1.5)  # until the driver has heard that the plans are gone
     spark._jvm.java.lang.System.gc()
 
 
@@ -391,9 +393,9 @@ class NeighbourGraph:
     def _descend(self, graph: DataFrame, rounds: int) -> DataFrame:
         for no in range(rounds):
             after = self._round(graph, no)
+            r = after.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()
             _forget(graph)
             graph = after
-            r = graph.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()
             self.shares.append((r["new"] or 0) / max(1, r["all"] or 0))
             if self.shares[-1] < SETTLED:
                 break
