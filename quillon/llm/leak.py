@@ -20,6 +20,8 @@ LEAST_WORDS = 13
 SHARD_WORDS = 1_000_000
 #: Test words held by a worker at a time; more test items are searched in blocks.
 BLOCK_WORDS = 2_000_000
+#: Hits of test suffixes in a shard that are formed at a time.
+HITS = 2_000_000
 
 
 def suffix_array(h: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
@@ -60,30 +62,47 @@ def _room(offs: np.ndarray) -> np.ndarray:
     return np.repeat(offs[1:], np.diff(offs)) - np.arange(offs[-1])
 
 
-def matches(h, offs, q, q_offs, depth):
-    """(row, item, words, place in row, place in item) of the longest match of each row and item."""
+def matches(h, offs, q, q_offs, depth, array=None):
+    """(row, item, words, place in row, place in item) of the longest match of each row and item.
+
+    Only hits that can't be extended to the left grow, and hits are formed HITS at a time: a word repeated a million times
+    in a row and hundreds of times in an item takes no more memory than others.
+    """
     room, q_room = _room(offs), _room(q_offs)
     at = np.flatnonzero(q_room >= depth)
     at = at[np.isin(q[at], h)]
-    array = suffix_array(h, room, depth)
+    if array is None:
+        array = suffix_array(h, room, depth)
     lo, hi = (search(h, array, q, at, depth, right) for right in (False, True))
-    n = hi - lo
-    hit = np.repeat(at, n)
-    place = array[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    size, grow = np.full(hit.size, depth), np.arange(hit.size)
-    while grow.size:  # one more word for those that still match
-        s = size[grow]
-        ok = (room[place[grow]] > s) & (q_room[hit[grow]] > s)
-        grow, s = grow[ok], s[ok]
-        grow = grow[h[place[grow] + s] == q[hit[grow] + s]]
-        size[grow] += 1
-    row = np.searchsorted(offs, place, "right") - 1
-    item = np.searchsorted(q_offs, hit, "right") - 1
-    order = np.lexsort((hit, place, -size, item, row))
-    row, item, size, hit, place = (x[order] for x in (row, item, size, hit, place))
-    keep = np.ones(row.size, bool)
-    keep[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    return row[keep], item[keep], size[keep], (place - offs[row])[keep], (hit - q_offs[item])[keep]
+    at, lo, n = (x[hi > lo] for x in (at, lo, hi - lo))
+    first, q_first = np.zeros(h.size + 1, bool), np.zeros(q.size + 1, bool)
+    first[offs], q_first[q_offs] = True, True
+    best = [np.zeros(0, np.int64)] * 5
+    done, ends = 0, np.cumsum(n)
+    while done < at.size:
+        to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, "right")))
+        k = n[done:to]
+        hit = np.repeat(at[done:to], k)
+        place = array[np.repeat(lo[done:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        done = to
+        begins = first[place] | q_first[hit] | (h[place - 1] != q[hit - 1])
+        hit, place = hit[begins], place[begins]
+        size, grow = np.full(hit.size, depth), np.arange(hit.size)
+        while grow.size:  # one more word for those that still match
+            s = size[grow]
+            ok = (room[place[grow]] > s) & (q_room[hit[grow]] > s)
+            grow, s = grow[ok], s[ok]
+            grow = grow[h[place[grow] + s] == q[hit[grow] + s]]
+            size[grow] += 1
+        row = np.searchsorted(offs, place, "right") - 1
+        item = np.searchsorted(q_offs, hit, "right") - 1
+        found = [np.concatenate(x) for x in zip(best, (row, item, size, place - offs[row], hit - q_offs[item]))]
+        order = np.lexsort((found[4], found[3], -found[2], found[1], found[0]))
+        found = [x[order] for x in found]
+        keep = np.ones(order.size, bool)
+        keep[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+        best = [x[keep] for x in found]
+    return tuple(best)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -91,8 +110,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     A row for each document and item that share at least ``least`` consecutive words, with the longest shared run and
     its first place in either. Null and short texts match nothing; repeated rows count once; an item of fewer than
-    ``least`` words can't leak. Test items go to the workers in blocks of BLOCK_WORDS words, so what is sent stays
-    bounded whatever their number.
+    ``least`` words can't leak. Test items go to the workers in blocks of BLOCK_WORDS words; the corpus is read
+    once, each shard's array is built once and all blocks are searched in it.
     """
     spark = docs.sparkSession
     blocks, ids, hashes, offs = [], [], [], [0]
@@ -112,40 +131,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     schema = "doc_id long, item_id long, match_words int, doc_word int, item_word int"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
 
-    def one(block):
-        sent = spark.sparkContext.broadcast(block)
-
-        def scan(batches):
-            item_ids, q, q_offs = sent.value
-            item_ids = np.array(item_ids, np.int64)
-
-            def shard(keys, hs, sizes):
-                h, o = np.concatenate(hs), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-                if h.size < least:
-                    return None
-                row, item, size, dw, iw = matches(h, o, q, q_offs, least)
-                return pa.RecordBatch.from_arrays([pa.concat_arrays(keys).take(pa.array(row)), pa.array(item_ids[item]), *(pa.array(x.astype(np.int32)) for x in (size, dw, iw))], names=["doc_id", "item_id", "match_words", "doc_word", "item_word"])
-
-            keys, hs, sizes, have = [], [], [], 0
-            for batch in batches:
-                for part in charfold.slices(batch, 1):
-                    w = words(part.column(1))
-                    keys.append(part.column(0)), hs.append(w.hashes), sizes.append(np.diff(w.offs))
-                    have += w.hashes.size
-                    if have >= SHARD_WORDS:
-                        if (out := shard(keys, hs, sizes)) is not None:
-                            yield out
-                        keys, hs, sizes, have = [], [], [], 0
-            if keys and (out := shard(keys, hs, sizes)) is not None:
-                yield out
-
-        return rows.mapInArrow(scan, schema)
-
-    found = None
-    for b in blocks:
-        found = one(b) if found is None else found.unionByName(one(b))
-    if found is None:
+    if not blocks:
         return spark.createDataFrame([], schema)
+    sent = [spark.sparkContext.broadcast(b) for b in blocks]
+
+    def scan(batches):
+        def shard(keys, hs, sizes):
+            h, o = np.concatenate(hs), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+            if h.size < least:
+                return
+            array, keys = suffix_array(h, _room(o), least), pa.concat_arrays(keys)
+            for block in sent:
+                item_ids, q, q_offs = block.value
+                row, item, size, dw, iw = matches(h, o, q, q_offs, least, array)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(np.array(item_ids, np.int64)[item]), *(pa.array(x.astype(np.int32)) for x in (size, dw, iw))], names=["doc_id", "item_id", "match_words", "doc_word", "item_word"])
+
+        keys, hs, sizes, have = [], [], [], 0
+        for batch in batches:
+            for part in charfold.slices(batch, 1):
+                w = words(part.column(1))
+                keys.append(part.column(0)), hs.append(w.hashes), sizes.append(np.diff(w.offs))
+                have += w.hashes.size
+                if have >= SHARD_WORDS:
+                    yield from shard(keys, hs, sizes)
+                    keys, hs, sizes, have = [], [], [], 0
+        if keys:
+            yield from shard(keys, hs, sizes)
+
+    found = rows.mapInArrow(scan, schema)
     best = F.max(F.struct("match_words", -F.col("doc_word"), -F.col("item_word"))).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.match_words", *((-F.col(f"m.{c}")).cast("int").alias(n) for c, n in (("col2", "doc_word"), ("col3", "item_word"))))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import charfold
+from quillon.session import materialize
 
 #: Registered names of one trie; a larger registry is searched trie by trie.
 SHARD_NAMES = 50_000
@@ -107,7 +108,8 @@ class Trie:
 class Persons:
     """Given name, initials, last word of the name: which registered person a typed name means."""
 
-    def __init__(self, registry: list[tuple[int, str]]):
+    def __init__(self, registry: list[tuple[int, str]], short: dict[str, str] = SHORT):
+        self.short = short
         self.people: dict[str, list[tuple]] = {}
         given = set()
         for i, name in registry:
@@ -117,7 +119,7 @@ class Persons:
             first, middle, last = plain(parts[0]), [plain(x)[0] for x in parts[1:-1]], plain(parts[-1])
             given.add(first)
             self.people.setdefault(last, []).append((i, first, middle, unicodedata.normalize("NFC", parts[0])[0].lower()))
-        self.given = given | set(SHORT) | set(SHORT.values())
+        self.given = given | set(short) | set(short.values())
         self.last, self.first = Trie(self.people), Trie(self.given)
 
     def _first(self, typed: str, raw: str, person: tuple) -> float | None:
@@ -125,17 +127,18 @@ class Persons:
         _, first, _, letter = person
         if len(typed) == 1:
             return None if typed != first[0] else 0.3 if raw.lower() == letter else 0.5
-        if typed == first or SHORT.get(typed) == first:
+        if typed == first or self.short.get(typed) == first:
             return 0.0
         if typed in self.given:
             return None
-        return next((float(d) for w, d in self.first.find(typed) if w == first or SHORT.get(w) == first), None)
+        return next((float(d) for w, d in self.first.find(typed) if w == first or self.short.get(w) == first), None)
 
-    def match(self, name: str) -> int | None:
+    def match(self, name: str) -> list[tuple[int, float]]:
+        """(entity, cost) of the cheapest ones."""
         words = [(plain(w), w) for w in WORD.findall(clean(name))]
         found: dict[int, float] = {}
         if len(words) > 4:  # a last name and three other parts are the most that can match
-            return None
+            return []
         for at, (word, _) in enumerate(words):
             if len(word) < 3:
                 continue
@@ -158,23 +161,21 @@ class Persons:
                             continue
                         cost += edits + (0.2 if person[2] and not middle else 0)
                         found[person[0]] = min(cost, found.get(person[0], 9))
-        if not found:
-            return None
-        least = min(found.values())
-        best = [i for i, c in found.items() if c == least]
-        return best[0] if len(best) == 1 else None
+        least = min(found.values(), default=0)
+        return sorted((i, float(c)) for i, c in found.items() if c == least)
 
 
 class Results:
     """Names of persons, words in between, kind of statement: which registered result a typed name means."""
 
-    def __init__(self, registry: list[tuple[int, str]]):
+    def __init__(self, registry: list[tuple[int, str]], kinds: dict[str, str] = KINDS):
+        self.kinds = kinds
         self.entries, by = [], {}
         for i, name in registry:
             parts = clean(name)
             people = [plain(w) for w in WORD.findall(parts.split(" ")[0])]
             words = [plain(w) for w in WORD.findall(parts)]
-            kind = KINDS.get(words[-1])
+            kind = kinds.get(words[-1]) if words else None
             if kind is None:
                 continue
             for p in people:
@@ -183,11 +184,12 @@ class Results:
         self.by, self.trie = by, Trie(by)
         self.longest = max((len(p) + len(b) + 1 for _, p, b, _ in self.entries), default=0)
 
-    def match(self, name: str) -> int | None:
+    def match(self, name: str) -> list[tuple[int, float]]:
+        """(entity, cost) of the cheapest ones."""
         words = [w for w in (plain(w) for w in WORD.findall(clean(name))) if w not in FILLERS]
         found: dict[int, int] = {}
         if len(words) > self.longest:  # every word has to be accounted for
-            return None
+            return []
         for word in words:
             for near, _ in self.trie.find(word) if len(word) > 2 else ():
                 for at in self.by[near]:
@@ -195,11 +197,8 @@ class Results:
                     cost = self._cost(words, people, between, kind)
                     if cost is not None:
                         found[i] = min(cost, found.get(i, 9))
-        if not found:
-            return None
-        least = min(found.values())
-        best = [i for i, c in found.items() if c == least]
-        return best[0] if len(best) == 1 else None
+        least = min(found.values(), default=0)
+        return sorted((i, float(c)) for i, c in found.items() if c == least)
 
     def _cost(self, words, people, between, kind):
         left, cost = list(words), 0
@@ -209,7 +208,7 @@ class Results:
                 return None
             cost += got[0]
             left.remove(got[1])
-        named = [w for w in left if KINDS.get(w) == kind]
+        named = [w for w in left if self.kinds.get(w) == kind]
         if not named:
             return None
         left.remove(named[-1])
@@ -223,27 +222,35 @@ class Results:
 MATCHERS = {"persons": Persons, "results": Results}
 
 
-def link_names(names: DataFrame, registry: DataFrame, kind: str, name: str, entity: str, entity_name: str) -> DataFrame:
+#: Distinct typed names of one task.
+TASK_NAMES = 5_000
+
+
+def link_names(names: DataFrame, registry: DataFrame, kind: str, name: str, entity: str, entity_name: str, forms: dict[str, str] | None = None) -> DataFrame:
     """(name, entity_id) of each distinct typed name that means a registered entity; ``kind``: ``persons`` or ``results``.
 
     A name that means none, is empty or null, or means two equally well has no row. The registry goes to the workers in
-    shards of SHARD_NAMES names, whatever its size; of several shards' answers the one with the only match stays.
+    shards of SHARD_NAMES names, whatever its size; of all shards' answers the cheapest counts, so shards change nothing.
+    ``forms``: short forms of given names, or abbreviations of kinds of statement, to the full ones (SHORT, KINDS).
     """
     spark = names.sparkSession
-    typed = names.select(F.col(name).alias("name")).where("name IS NOT NULL AND length(name) > 0").distinct()
-    schema, found, shard = "name string, entity_id long", [], []
+    typed = materialize(names.select(F.col(name).cast("string").alias("name")).where("name IS NOT NULL AND length(name) > 0").distinct())
+    typed = typed.repartition(max(1, -(-typed.count() // TASK_NAMES)), "name")  # by rows: a name costs far more than its bytes
+    schema, found, shard = "name string, entity_id long, cost double", [], []
+    given = {} if forms is None else {"short" if kind == "persons" else "kinds": forms}
 
     def one(rows):
         sent = spark.sparkContext.broadcast(rows)
 
         def run(batches):
-            match = MATCHERS[kind](sent.value).match
+            match = MATCHERS[kind](sent.value, **given).match
             for b in batches:
                 raw = b.column(0)
-                ids = [match(n) if n else None for n in charfold.fold_strings(raw).to_pylist()]
-                yield pa.RecordBatch.from_arrays([raw, pa.array(ids, pa.int64())], names=["name", "entity_id"])
+                best = [match(n) if n else [] for n in charfold.fold_strings(raw).to_pylist()]
+                at = pa.array([i for i, x in enumerate(best) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([raw.take(at), pa.array([i for x in best for i, _ in x], pa.int64()), pa.array([c for x in best for _, c in x], pa.float64())], names=["name", "entity_id", "cost"])
 
-        return typed.mapInArrow(run, schema).where("entity_id IS NOT NULL")
+        return typed.mapInArrow(run, schema)
 
     known = registry.select(F.col(entity).cast("long").alias("i"), F.col(entity_name).alias("n")).where("i IS NOT NULL AND n IS NOT NULL").distinct()
     for r in known.toLocalIterator():
@@ -253,9 +260,10 @@ def link_names(names: DataFrame, registry: DataFrame, kind: str, name: str, enti
             shard = []
     if shard or not found:
         found.append(one(shard))
-    if len(found) == 1:
-        return found[0]
-    return functools.reduce(DataFrame.unionByName, found).groupBy("name").agg(F.min("entity_id").alias("entity_id"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    all_ = functools.reduce(DataFrame.unionByName, found)
+    # the least and the greatest of the cheapest: one entity if they are the same
+    ends = all_.groupBy("name").agg(F.min(F.struct("cost", "entity_id")).alias("a"), F.min(F.struct("cost", (-F.col("entity_id")).alias("entity_id"))).alias("b"))
+    return ends.where("a.entity_id = -b.entity_id").select("name", "a.entity_id")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Problem 6: traces of the scanned page in text, and continuous paragraphs made of it.
 
-Three averaged perceptrons, all trained here: one takes lines for page furniture by their place on the page; one
-decides at a mark at a line end whether the mark is deleted and the lines are joined; one is a character editor that
-keeps, replaces, deletes or inserts characters of a word. Counts of words and lines are made over all rows.
+Two averaged perceptrons, trained here. One takes lines for page furniture by their place on the page. The other is a
+character editor: for a character it predicts keep, replace, delete, insert, or join, which deletes a mark at a line end
+and joins the lines. What a scanner reads for what is learned from the corpus: words that only scanned text has are
+aligned with words of born-digital text, and what is no more common among words that only born-digital text has is no
+misreading. Counts of words and lines are made over all rows.
 """
 
 from __future__ import annotations
@@ -27,17 +29,14 @@ PRINTED_WORDS = 2_000_000
 MOST_FIXES = 200_000
 # Marks of a word broken at a line end.
 MARKS = "-‐¬­"
-# What a scanner reads, and what is printed.
-MISREAD = [
-    ("c", "e"), ("l", "i"), ("f", "t"), ("0", "o"), ("1", "l"), ("rn", "m"), ("m", "rn"), ("5", "s"), ("ii", "u"), ("cl", "d"),
-    ("d", "cl"), ("b", "h"), ("q", "g"), ("6", "b"), ("m", "in"), ("vv", "w"), ("I", "l"), ("8", "B"), ("O", "0"), ("nn", "m"),
-    ("li", "h"), ("e", "c"), ("i", "l"), ("t", "f"), ("h", "b"), ("u", "n"), ("n", "u"), ("ni", "m"), ("9", "g"),
-]
+#: Misreadings are learned from at least so many words, so many times as many as born-digital text has; characters on a side.
+LEAST_SUPPORT, LEAST_RATIO, SPAN = 4, 3.0, 2
+OPERATIONS = ["keep", "replace", "delete", "insert", "join"]
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 FORMULA = re.compile(r"\$[^$]*\$")
 BROKEN = re.compile(rf"[^\W_]+[{MARKS}][ \t]*\n\s*\S*")
-NUMBER_LINE = re.compile(r"[\[\]\-–—|·. ]*(?:(?:page|seite|p\.|s\.)\s*)?(\d+|[ivxlc]+)[\[\]\-–—|· ]*\Z", re.I)
+NUMBER_LINE = re.compile(r"[\[\]\-–—|·. ]*(?:(?:page|seite|p\.|s\.)\s*)?(\d+|(?=[ivxlc])(?:xc|xl|l?x{0,3}|c{1,3}(?:xc|xl|l?x{0,3}))(?:ix|iv|v?i{0,3}))[\[\]\-–—|· ]*\Z", re.I)
 
 
 def bucket(n: float) -> int:
@@ -137,7 +136,7 @@ def line_seed(line: str, features: tuple) -> str | None:
         return None
     if "bracketTrue" in has:
         return "text"
-    if "aloneTrueTrue" in has:
+    if "aloneTrueTrue" in has or "aloneTrueFalse" in has and "seamTrue" in has:
         return "page_no"
     if "aloneFalse" not in has:
         return None
@@ -155,7 +154,7 @@ def _line_rows(batches):
             found = lines(text)
             _, numbers, seams = page_edges(found, first, last)
             for i, (_, line, _) in enumerate(found):
-                if line and len(line) <= 90:
+                if line:
                     ids.append(k), no.append(i), slug.append(s or ""), keys.append(line_key(line)), edge.append(int(seams[i] or bool(numbers[i])))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(no, pa.int32()), pa.array(slug, pa.string()), pa.array(keys, pa.string()), pa.array(edge, pa.int32())], names=["chunk_id", "no", "slug", "key", "edge"])
 
@@ -163,11 +162,17 @@ def _line_rows(batches):
 # ---- words and marks ---------------------------------------------------------------------------------------
 
 
-def repairs(word: str) -> list[tuple[str, tuple[tuple[int, str, str], ...]]]:
-    """(repaired word, edits as (place, what was read, what is printed)): one edit, or two of them that don't touch."""
+def frames(word: str) -> list[tuple[str, str]]:
+    """(the word with up to SPAN neighbouring characters left out, those characters), for every place."""
+    n = len(word)
+    return [(f"{word[:i]}\0{word[j:]}", word[i:j]) for i in range(n + 1) for j in range(i, min(n, i + SPAN) + 1) if n - (j - i) >= 3]
+
+
+def repairs(word: str, rules: dict[str, list[str]], many: bool = False) -> list[tuple[str, tuple[tuple[int, str, str], ...]]]:
+    """(repaired word, edits as (place, what was read, what is printed)): one edit, or (``many``) two that don't touch."""
     if len(word) < 3 or word.isdigit():
         return []
-    single = [(i, *rule) for i in range(len(word)) for rule in MISREAD if word.startswith(rule[0], i)]
+    single = [(i, word[i : i + k], printed) for i in range(len(word) + 1) for k in range(SPAN + 1) if i + k <= len(word) for printed in rules.get(word[i : i + k], ())]
 
     def apply(edits):
         out, at = [], 0
@@ -176,34 +181,56 @@ def repairs(word: str) -> list[tuple[str, tuple[tuple[int, str, str], ...]]]:
             at = i + len(read)
         return "".join(out) + word[at:]
 
-    out = [(apply((e,)), (e,)) for e in single]
-    if len(single) <= 24:
-        out += [(apply(p), p) for p in combinations(single, 2) if p[0][0] + len(p[0][1]) <= p[1][0]]
+    chosen = [p for p in combinations(single, 2) if p[0][0] + len(p[0][1]) < p[1][0]] if many else [(e,) for e in single]
+    return [(apply(p), p) for p in chosen]
+
+
+def spoil(word: str, at: int, rules: dict[str, list[str]]) -> list[str]:
+    """What a scanner may read for the word, misreading what stands at or after ``at``, as the rules say."""
+    out = []
+    for i in (*range(at, len(word)), *range(at)):
+        out += [word[:i] + read + word[i + len(printed) :] for read, all_ in rules.items() for printed in all_ if printed and word.startswith(printed, i)]
     return out
 
 
-def spoil(word: str, at: int) -> list[str]:
-    """What a scanner may read for the character at ``at``."""
-    return [word[:at] + read + word[at + len(printed) :] for read, printed in MISREAD if word.startswith(printed, at)]
+def operations(edits) -> list[tuple[int, str, str, str]]:
+    """(place, character, operation, what it becomes) of each character that the edits touch."""
+    out = []
+    for i, read, printed in edits:
+        for k, c in enumerate(read):
+            if k >= len(printed):
+                out.append((i + k, c, "delete", ""))
+            elif k == len(read) - 1 and len(printed) > len(read):
+                out.append((i + k, c, "insert", printed[k:]))
+            elif c != printed[k]:
+                out.append((i + k, c, "replace", printed[k]))
+        if not read:
+            out.append((max(0, i - 1), "", "insert", printed))
+    return out
 
 
 def edits_of(row: dict) -> list[tuple[int, str, str]]:
     return [(i, *rule.split(">")) for i, rule in zip(row["places"], row["reads"])]
 
 
-def edit_features(word: str, own: tuple[int, int], fixed: str, known: tuple[int, int], edits) -> tuple:
-    """Features of one repair; counts are (in born-digital rows, in scanned rows)."""
+def edit_features(word: str, own: tuple[int, int], fixed: str, known: tuple[int, int], edits) -> list[tuple[tuple, str]]:
+    """(features, operation) of each character that a repair touches; counts are (in born-digital rows, in scanned rows)."""
     have, want = sum(own), sum(known)
     ratio = max(-2, min(14, int(log2((want + 1) / (have + 1)))))
-    digit = any(r.isdigit() and (word[:i][-1:].isalpha() or word[i + 1 : i + 2].isalpha()) for i, r, _ in edits)
+    digit = digit_between(word, edits)
     f = [
         "bias", f"want{min(bucket(want), 10)}", f"have{min(bucket(have), 8)}", f"ratio{ratio}", f"digital{own[0] > 0}", f"clean{known[0] > 0}",
         f"digit{digit}", f"edits{len(edits)}", f"size{min(len(word), 8)}", f"ratio{ratio}&size{min(len(word), 6)}", f"ratio{ratio}&edits{len(edits)}",
-        f"ratio{ratio}&digital{own[0] > 0}",
+        f"ratio{ratio}&digital{own[0] > 0}", f"digit{digit}&want{want > 0}&digital{own[0] > 0}",
     ]
     for i, r, p in edits:
-        f += [f"rule{r}>{p}", f"rule{r}>{p}&ratio{ratio}", f"near{word[:i][-1:]}{r}{word[i + len(r) :][:1]}"]
-    return tuple(f)
+        f += [f"rule{r}>{p}", f"rule{r}>{p}&ratio{ratio}"]
+    return [((*f, f"char{c}>{to}", f"near{word[max(0, i - 1) : i]}{c}{word[i + 1 : i + 2]}"), op) for i, c, op, to in operations(edits)]
+
+
+def digit_between(word: str, edits) -> bool:
+    """Whether all edits turn a digit that has letters beside it into letters."""
+    return all(r.isdigit() and p.isalpha() and (word[:i][-1:].isalpha() or word[i + 1 : i + 2].isalpha()) for i, r, p in edits)
 
 
 def mark_features(mark: str, joined: int, kept: int, left: int, right: int, lower: bool) -> tuple:
@@ -239,7 +266,7 @@ def _count_words(batches):
         yield out()
 
 
-_FOUND = "chunk_id string, char_start int, kind string, mark string, word string, cut int, left string, right string, lower boolean"
+_FOUND = "chunk_id string, char_start int, kind string, mark string, word string, cut int, left string, right string, lower boolean, after int"
 
 
 def _scan_page(model: dict, classes: list[str]):
@@ -258,46 +285,60 @@ def _scan_page(model: dict, classes: list[str]):
                 chars = list(blotted(text))
                 for (at, line, _), kind in zip(found, kinds):
                     if kind in ("header", "page_no"):
-                        kind = "page_no" if NUMBER_LINE.match(line) else "header"  # by definition
-                        rows.append((k, at, kind, None, None, None, None, None, None))
+                        rows.append((k, at, kind, None, None, None, None, None, None, None))
                         chars[at : at + len(line)] = " " * len(line)
                 body = "".join(chars)
                 inside = set()
                 for m in re.finditer(rf"([^\W_]+)([{MARKS}])[ \t]*\n[\s]*([^\W_]+)", body):
                     left, mark, right = m[1], m[2], m[3]
-                    rows.append((k, m.start(2), "mark", mark, left + right, len(left), left, right, right[:1].islower()))
+                    rows.append((k, m.start(2), "mark", mark, left + right, len(left), left, right, right[:1].islower(), m.start(3)))
                     inside |= {m.start(1), m.start(3)}
                 for m in WORD.finditer(body):
                     if len(m[0]) > 2 and m.start() not in inside and not m[0].isdigit():
-                        rows.append((k, m.start(), "word", None, m[0], None, None, None, None))
-            cols = list(zip(*rows)) if rows else [[]] * 9
-            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+                        rows.append((k, m.start(), "word", None, m[0], None, None, None, None, None))
+            cols = list(zip(*rows)) if rows else [[]] * 10
+            types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
-def _repair_rows(batches):
+def _frame_rows(batches):
     for b in batches:
-        word, fixed, places, reads = [], [], [], []
-        for w in b.column(0).to_pylist():
-            for x, edits in repairs(w):
-                word.append(w), fixed.append(x), places.append([e[0] for e in edits]), reads.append([f"{r}>{p}" for _, r, p in edits])
-        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(fixed, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(reads, pa.list_(pa.string()))], names=["word", "fixed", "places", "reads"])
+        rows = [(w, frame, piece) for w in b.column(0).to_pylist() for frame, piece in frames(w)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["word", "frame", "piece"])
+
+
+_REPAIR = "word string, fixed string, places array<int>, reads array<string>, digit boolean"
+
+
+def _repair_rows(rules: dict[str, list[str]], many: bool):
+    def run(batches):
+        for b in batches:
+            for w in b.column(0).to_pylist():
+                found = repairs(w, rules, many)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([w] * len(found)), pa.array([x for x, _ in found]), pa.array([[e[0] for e in p] for _, p in found], pa.list_(pa.int32())), pa.array([[f"{r}>{x}" for _, r, x in p] for _, p in found], pa.list_(pa.string())), pa.array([digit_between(w, p) for _, p in found])], names=["word", "fixed", "places", "reads", "digit"])
+
+    return run
 
 
 def _judge(model: dict):
-    """Rows (word, own counts, fixed, its counts, edits) to those that the character editor repairs, with their score."""
+    """Rows (word, own counts, fixed, its counts, edits) to those that the character editor makes, with their score."""
 
     def run(batches):
-        editor = AveragedPerceptron(["keep", "edit"])
+        editor = AveragedPerceptron(OPERATIONS)
         editor.weights = model
         for b in batches:
             ok, score = [], []
             for r in b.to_pylist():
-                s = editor.scores(edit_features(r["word"], (r["digital"], r["scanned"]), r["fixed"], (r["fd"], r["fs"]), edits_of(r)))
-                ok.append(s[1] > s[0])
-                score.append(s[1] - s[0])
+                sum_ = 0.0
+                for features, op in edit_features(r["word"], (r["digital"], r["scanned"]), r["fixed"], (r["fd"], r["fs"]), edits_of(r)):
+                    s = editor.scores(features)
+                    gain = s[OPERATIONS.index(op)] - s[0]
+                    sum_ = sum_ + gain if gain > 0 and sum_ is not None else None
+                ok.append(bool(sum_))
+                score.append(sum_ or 0.0)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(6), pa.array(score, pa.float64())], names=["word", "fixed", "places", "score"]).filter(keep)
 
@@ -329,6 +370,8 @@ class Scan:
         placed = materialize(self.pages.join(marked, "chunk_id", "left").select("chunk_id", "body", "first", "last", "recur"))
         self.page_model = self._train_lines(placed)
         self.found = materialize(placed.mapInArrow(_scan_page(self.page_model.weights, self.page_model.classes), _FOUND))
+        self.rules = self._misreadings()
+        self.editor = AveragedPerceptron(OPERATIONS).fit(sorted(self._taught_words() + self._taught_marks())).weights
         self.marks = materialize(self._marks())
         self.fixes = materialize(self._fixes())
         self.defects = self._defects()
@@ -363,11 +406,62 @@ class Scan:
             table = table.join(known, c, "left").na.fill(0, [f"n_{c}"])
         return table
 
-    def _marks(self) -> DataFrame:
-        """The marks at line ends that are deleted: (chunk_id, char_start, word, cut, left)."""
+    def _misreadings(self) -> dict[str, list[str]]:
+        """What is read to what may be printed, learned from all words of the corpus.
+
+        Words of one side only that differ from a common printed word in one place of at most SPAN characters are aligned
+        with it. A misreading is supported by words that only scanned text has, and LEAST_RATIO times as often as by words
+        that only born-digital text has, in proportion to their numbers: endings and the like are as common there.
+        """
+        plain = self.words.where("length(word) > 3 AND NOT word RLIKE '-'")
+        printed = self._printed(5).where("length(word) > 3 AND NOT word RLIKE '[0-9-]'").select("word", (F.col("digital") + F.col("scanned")).alias("total"))
+        odd = plain.where("digital = 0 OR scanned = 0").select("word", (F.col("digital") == 0).alias("read"), (F.col("digital") + F.col("scanned")).alias("own"))
+        framed = lambda t: t.select("word").mapInArrow(_frame_rows, "word string, frame string, piece string").join(t, "word")
+        right = framed(printed).select("frame", F.col("word").alias("other"), F.col("piece").alias("to"), "total")
+        left = framed(odd).select("frame", "word", "piece", "read", "own")
+        # nothing common at either end belongs to the misreading
+        pair = left.join(right, "frame").where("total >= 8 * own AND word <> other").where("piece <> to AND NOT (length(piece) > 0 AND length(to) > 0 AND (left(piece, 1) = left(to, 1) OR right(piece, 1) = right(to, 1)))")
+        count = pair.groupBy("piece", "to").agg(F.count_distinct(F.when(F.col("read"), F.col("word"))).alias("scan"), F.count_distinct(F.when(~F.col("read"), F.col("word"))).alias("digital"))
+        sizes = {r["read"]: r["count"] for r in odd.groupBy("read").count().collect()}
+        share = max(1, sizes.get(True, 0)) / max(1, sizes.get(False, 0), sizes.get(True, 0))
+        kept = count.where((F.col("scan") >= LEAST_SUPPORT) & (F.col("scan") >= LEAST_RATIO * share * F.col("digital"))).orderBy("piece", "to")
+        rules: dict[str, list[str]] = {}
+        for r in kept.collect():  # pairs of pieces of two characters of an alphabet
+            # shapes that are mistaken one way may be mistaken the other way
+            for read, to in ((r["piece"], r["to"]), (r["to"], r["piece"])):
+                if to not in rules.setdefault(read, []) and (read and to or (read, to) == (r["piece"], r["to"])):
+                    rules[read].append(to)
+        return {k: sorted(v) for k, v in sorted(rules.items()) if v}
+
+    def _taught_words(self) -> list[tuple[tuple, str]]:
+        """Characters of TRAIN_WORDS printed words, spoiled and not, with what the editor has to do."""
+        spark, pairs = self.words.sparkSession, []
+        chosen = sample(self._printed(10).where("length(word) > 2 AND NOT word RLIKE '-'"), "word", TRAIN_WORDS)
+        printed = [r["word"] for r in chosen.select("word").collect()]
+        for w in printed:
+            for x in spoil(w, hash_of(w) % len(w), self.rules)[:4] if w.isalpha() else ():
+                pairs += [(x, w, [e[0] for e in p], [f"{e[1]}>{e[2]}" for e in p], "edit") for fixed, p in repairs(x, self.rules) if fixed == w]
+            pairs += [(w, fixed, [e[0] for e in p], [f"{e[1]}>{e[2]}" for e in p], "keep") for fixed, p in repairs(w, self.rules)]
+        if not pairs:
+            return []
+        table = spark.createDataFrame(pairs, "word string, fixed string, places array<int>, reads array<string>, label string")
         train = []
+        for r in self._counted(self._counted(table, "word", "digital", "scanned"), "fixed", "fd", "fs").collect():
+            edits, own, known = edits_of(r), (r["digital"], r["scanned"]), (r["fd"], r["fs"])
+            if r["label"] == "edit":
+                if own[0]:  # the spoiled form is a word itself
+                    continue
+                train += edit_features(r["word"], own, r["fixed"], known, edits)
+                if digit_between(r["word"], edits):  # as if the word stood nowhere else
+                    train += edit_features(r["word"], own, r["fixed"], (0, 0), edits)
+            elif sum(known) or digit_between(r["word"], edits) or hash_of(r["fixed"]) % 8 == 0:
+                train += [(f, "keep") for f, _ in edit_features(r["word"], own, r["fixed"], known, edits)]
+        return train
+
+    def _taught_marks(self) -> list[tuple[tuple, str]]:
+        """Marks of printed words broken at a line end, to be joined, and of words written with a hyphen, to be kept."""
+        train, parts = [], []
         chosen = sample(self._printed(5).where("length(word) > 5"), "word", TRAIN_WORDS)
-        parts = []
         for r in chosen.select("word").collect():
             w = r["word"]
             if "-" in w:
@@ -375,57 +469,46 @@ class Scan:
             elif w.isalpha():
                 cut = 2 + hash_of(w) % (len(w) - 4)
                 parts.append((w, f"{w[:cut]}-{w[cut:]}", w[:cut], w[cut:], "join"))
-        spark = self.words.sparkSession
         if parts:
-            table = self._mark_counts(spark.createDataFrame(parts, "word string, kept string, left string, right string, label string"))
+            table = self._mark_counts(self.words.sparkSession.createDataFrame(parts, "word string, kept string, left string, right string, label string"))
             for r in table.collect():
                 for mark in MARKS if r["label"] == "join" else "-":
                     train.append((mark_features(mark, r["n_word"], r["n_kept"], r["n_left"], r["n_right"], r["right"][:1].islower()), r["label"]))
-        train.sort()
-        model = AveragedPerceptron(["join", "keep"]).fit(train).weights
+        return train
+
+    def _marks(self) -> DataFrame:
+        """The marks at line ends that are deleted: (chunk_id, char_start, word, cut, left, after)."""
+        model = self.editor
 
         def decide(batches):
-            judge = AveragedPerceptron(["join", "keep"])
+            judge = AveragedPerceptron(OPERATIONS)
             judge.weights = model
             for b in batches:
                 ok = [r["lower"] and judge.predict(mark_features(r["mark"], r["n_word"], r["n_kept"], r["n_left"], r["n_right"], r["lower"])) == "join" for r in b.to_pylist()]
-                yield b.select(["chunk_id", "char_start", "word", "cut", "left"]).filter(pa.array(ok, pa.bool_()))
+                yield b.select(["chunk_id", "char_start", "word", "cut", "left", "after"]).filter(pa.array(ok, pa.bool_()))
 
-        at = self.found.where("kind = 'mark'").select("chunk_id", "char_start", "mark", "word", "cut", "left", "right", "lower", F.concat_ws("-", "left", "right").alias("kept"))
-        return self._mark_counts(at).mapInArrow(decide, "chunk_id string, char_start int, word string, cut int, left string")
+        at = self.found.where("kind = 'mark'").select("chunk_id", "char_start", "mark", "word", "cut", "left", "right", "lower", "after", F.concat_ws("-", "left", "right").alias("kept"))
+        return self._mark_counts(at).mapInArrow(decide, "chunk_id string, char_start int, word string, cut int, left string, after int")
 
     def _fixes(self) -> DataFrame:
-        """(word, fixed, places) of the distinct words that the character editor changes."""
-        spark, pairs = self.words.sparkSession, []
-        chosen = sample(self._printed(10).where("length(word) > 2 AND NOT word RLIKE '[0-9-]'"), "word", TRAIN_WORDS)
-        for r in chosen.select("word").collect():
-            w = r["word"]
-            wrong = spoil(w, hash_of(w) % len(w))
-            for x in wrong[:3]:
-                for fixed, edits in repairs(x):
-                    if fixed == w:
-                        pairs.append((x, w, [e[0] for e in edits], [f"{e[1]}>{e[2]}" for e in edits], "edit"))
-            for fixed, edits in repairs(w)[:40]:
-                pairs.append((w, fixed, [e[0] for e in edits], [f"{e[1]}>{e[2]}" for e in edits], "keep"))
-        train = []
-        if pairs:
-            table = spark.createDataFrame(pairs, "word string, fixed string, places array<int>, reads array<string>, label string")
-            table = self._counted(self._counted(table, "word", "digital", "scanned"), "fixed", "fd", "fs")
-            for r in table.collect():
-                if r["label"] == "edit" or r["fd"] + r["fs"] > 0 or hash_of(r["fixed"]) % 8 == 0:
-                    train.append((edit_features(r["word"], (r["digital"], r["scanned"]), r["fixed"], (r["fd"], r["fs"]), edits_of(r)), r["label"]))
-        train.sort()
-        model = AveragedPerceptron(["keep", "edit"]).fit(train).weights
-        types = self.found.where("kind = 'word'").select("word").union(self.marks.select("word")).distinct()
-        own = self._counted(types, "word", "digital", "scanned")
+        """(word, fixed, places) of the distinct words that the character editor changes.
+
+        A word has to become one that the corpus knows, unless only digits between letters change. Two edits are tried
+        where one doesn't do and born-digital text hasn't the word.
+        """
+        types = self.found.where("kind = 'word'").select("word").union(self.marks.select("word"))
+        # both halves of a word whose mark stays are words by themselves
+        halves = self.found.where("kind = 'mark'").join(self.marks.select("chunk_id", "char_start"), ["chunk_id", "char_start"], "left_anti").select(F.explode(F.array("left", "right")).alias("word"))
+        own = materialize(self._counted(types.union(halves).distinct(), "word", "digital", "scanned"))
         known = self.words.select(F.col("word").alias("fixed"), F.col("digital").alias("fd"), F.col("scanned").alias("fs"))
-        tried = own.select("word").mapInArrow(_repair_rows, "word string, fixed string, places array<int>, reads array<string>").join(known, "fixed").join(own, "word")
-        judged = tried.select("word", "digital", "scanned", "fixed", "fd", "fs", "places", "reads").mapInArrow(_judge(model), "word string, fixed string, places array<int>, score double")
-        best = judged.groupBy("word").agg(F.max_by(F.struct("fixed", "places"), F.struct("score", "fixed")).alias("b")).select("word", "b.fixed", "b.places")
-        # a digit among letters is misread even where no known word is near
-        mixed = types.where(r"word RLIKE '^\\p{L}{2,}[0156]\\p{L}*$' OR word RLIKE '^\\p{L}*[0156]\\p{L}{2,}$'").where("NOT word RLIKE '[0-9]{2}'")
-        mixed = mixed.join(best, "word", "left_anti").select("word", F.col("word").alias("fixed"), F.array(F.regexp_instr("word", F.lit("[0156]")) - 1).alias("places"))
-        return best.unionByName(mixed)
+
+        def judged(rows: DataFrame, many: bool) -> DataFrame:
+            tried = rows.select("word").mapInArrow(_repair_rows(self.rules, many), _REPAIR).join(known, "fixed", "left").where("fd IS NOT NULL OR digit").na.fill(0, ["fd", "fs"]).join(rows, "word")
+            made = tried.select("word", "digital", "scanned", "fixed", "fd", "fs", "places", "reads").mapInArrow(_judge(self.editor), "word string, fixed string, places array<int>, score double")
+            return materialize(made.groupBy("word").agg(F.max_by(F.struct("fixed", "places"), F.struct("score", "fixed")).alias("b")).select("word", "b.fixed", "b.places"))
+
+        one = judged(own, False)
+        return one.unionByName(judged(own.where("digital = 0").join(one, "word", "left_anti"), True))
 
     def _defects(self) -> DataFrame:
         fixes = broadcast_if_small(self.fixes, MOST_FIXES)
@@ -433,14 +516,10 @@ class Scan:
         hyphens = self.marks.select("chunk_id", "char_start", F.lit("hyphen").alias("defect"))
         plain = self.found.where("kind = 'word'").select("chunk_id", "char_start", "word").join(fixes.select("word"), "word").select("chunk_id", "char_start", F.lit("misread").alias("defect"))
         # of a broken word, the part that holds the misread character
-        broken = self.marks.join(fixes.select("word", F.element_at("places", 1).alias("at")), "word").join(
-            self.found.where("kind = 'mark'").select("chunk_id", "char_start", F.length("left").alias("n"), "right").withColumnRenamed("right", "_r"), ["chunk_id", "char_start"]
-        )
-        body = self.pages.select("chunk_id", "body")
-        after = broken.join(body, "chunk_id")
-        rest = F.substring("body", F.col("char_start") + 2, F.lit(400))
-        right_at = F.col("char_start") + 1 + F.instr(rest, F.col("_r")) - 1
-        part = after.select("chunk_id", F.when(F.col("at") < F.col("n"), F.col("char_start") - F.col("n")).otherwise(right_at).cast("int").alias("char_start"), F.lit("misread").alias("defect"))
+        part = self.marks.join(fixes.select("word", F.element_at("places", 1).alias("at")), "word").select("chunk_id", F.when(F.col("at") < F.col("cut"), F.col("char_start") - F.col("cut")).otherwise(F.col("after")).cast("int").alias("char_start"), F.lit("misread").alias("defect"))
+        stays = self.found.where("kind = 'mark'").join(self.marks.select("chunk_id", "char_start"), ["chunk_id", "char_start"], "left_anti")
+        stays = stays.select("chunk_id", F.explode(F.array(F.struct((F.col("char_start") - F.col("cut")).alias("char_start"), F.col("left").alias("word")), F.struct(F.col("after").alias("char_start"), F.col("right").alias("word")))).alias("h")).select("chunk_id", "h.char_start", "h.word")
+        part = part.unionByName(stays.join(fixes.select("word"), "word").select("chunk_id", "char_start", F.lit("misread").alias("defect")))
         return furniture.unionByName(hyphens).unionByName(plain).unionByName(part).distinct()
 
     def paragraphs(self) -> DataFrame:

@@ -189,6 +189,18 @@ def test_names(spark):
     assert names.link_names(df, results.limit(0), "results", "name", "result_id", "canonical_name").count() == 0
 
 
+def test_shards_of_a_registry_change_nothing(spark):
+    """A name one edit from an entity of one shard and equal to one of another means the latter; a tie over shards means none."""
+    people = spark.createDataFrame([(1, "Maria Keller"), (2, "Maria Kellner"), (3, "Otto Brandt"), (4, "Otto Brandl")], "author_id long, full_name string")
+    df = spark.createDataFrame([("Maria Keller",), ("M. Kellner",), ("Otto Brandx",)], "name string")
+    kept = names.SHARD_NAMES
+    for names.SHARD_NAMES in (1, 3, 50_000):
+        try:
+            assert dict(rows(names.link_names(df, people, "persons", "name", "author_id", "full_name"))) == {"Maria Keller": 1, "M. Kellner": 2}
+        finally:
+            names.SHARD_NAMES = kept
+
+
 def test_perceptron_learns_on_held_out_rows():
     random.seed(0)
     data = [((f"a{a}", f"b{b}"), "x" if a > b else "y") for a, b in ((random.randrange(9), random.randrange(9)) for _ in range(900))]

@@ -4,6 +4,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -109,6 +110,14 @@ def test_leaks(spark):
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_leaks_of_repeated_words():
+    """A word a million times in a document and often in an item: hits are formed a part at a time, few grow."""
+    one = words(pa.array(["ab"])).hashes[0]
+    h, q = np.full(1_000_000, one), np.full(60, one)
+    row, item, size, dw, iw = leak.matches(h, np.array([0, 1_000_000]), q, np.array([0, 60]), 13)
+    assert (row.tolist(), item.tolist(), size.tolist(), dw.tolist(), iw.tolist()) == ([0], [0], [60], [0], [0])
+
+
 def cut(t, limit=1200, least=840, overlap=100):
     out, a = [], 0
     word = lambda p: 0 < p < len(t) and t[p - 1] in " \t\n\r\f" and t[p] not in " \t\n\r\f"
