@@ -29,8 +29,9 @@ PRINTED_WORDS = 2_000_000
 MOST_FIXES = 200_000
 # Marks of a word broken at a line end.
 MARKS = "-‐¬­"
-#: Misreadings are learned from at least so many words, so many times as many as born-digital text has; characters on a side.
-LEAST_SUPPORT, LEAST_RATIO, SPAN = 4, 3.0, 2
+#: Misreadings are learned from at least so many words, and such a share of the words that only scanned text has, and so many
+#: times as many as born-digital text has; characters on a side.
+LEAST_SUPPORT, LEAST_SHARE, LEAST_RATIO, SPAN = 4, 0.001, 3.0, 2
 OPERATIONS = ["keep", "replace", "delete", "insert", "join"]
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -305,8 +306,9 @@ def _scan_page(model: dict, classes: list[str]):
 
 def _frame_rows(batches):
     for b in batches:
-        rows = [(w, frame, piece) for w in b.column(0).to_pylist() for frame, piece in frames(w)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["word", "frame", "piece"])
+        rows = [(i, frame, piece) for i, w in enumerate(b.column(0).to_pylist()) for frame, piece in frames(w)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["word", "n", "read", "frame", "piece"])
 
 
 _REPAIR = "word string, fixed string, places array<int>, reads array<string>, digit boolean"
@@ -416,15 +418,17 @@ class Scan:
         plain = self.words.where("length(word) > 3 AND NOT word RLIKE '-'")
         printed = self._printed(5).where("length(word) > 3 AND NOT word RLIKE '[0-9-]'").select("word", (F.col("digital") + F.col("scanned")).alias("total"))
         odd = plain.where("digital = 0 OR scanned = 0").select("word", (F.col("digital") == 0).alias("read"), (F.col("digital") + F.col("scanned")).alias("own"))
-        framed = lambda t: t.select("word").mapInArrow(_frame_rows, "word string, frame string, piece string").join(t, "word")
-        right = framed(printed).select("frame", F.col("word").alias("other"), F.col("piece").alias("to"), "total")
-        left = framed(odd).select("frame", "word", "piece", "read", "own")
+        framed = lambda t: t.mapInArrow(_frame_rows, "word string, n long, read boolean, frame string, piece string")
+        right = framed(printed.select("word", F.col("total").alias("n"), F.lit(False).alias("read"))).select("frame", F.col("word").alias("other"), F.col("piece").alias("to"), F.col("n").alias("total"))
+        left = framed(odd.select("word", F.col("own").alias("n"), "read")).withColumnRenamed("n", "own")
         # nothing common at either end belongs to the misreading
-        pair = left.join(right, "frame").where("total >= 8 * own AND word <> other").where("piece <> to AND NOT (length(piece) > 0 AND length(to) > 0 AND (left(piece, 1) = left(to, 1) OR right(piece, 1) = right(to, 1)))")
+        pair = left.hint("merge").join(right, "frame")  # a word has many frames: neither side is small
+        pair = pair.where("total >= 8 * own AND word <> other").where("piece <> to AND NOT (length(piece) > 0 AND length(to) > 0 AND (left(piece, 1) = left(to, 1) OR right(piece, 1) = right(to, 1)))")
         count = pair.groupBy("piece", "to").agg(F.count_distinct(F.when(F.col("read"), F.col("word"))).alias("scan"), F.count_distinct(F.when(~F.col("read"), F.col("word"))).alias("digital"))
         sizes = {r["read"]: r["count"] for r in odd.groupBy("read").count().collect()}
         share = max(1, sizes.get(True, 0)) / max(1, sizes.get(False, 0), sizes.get(True, 0))
-        kept = count.where((F.col("scan") >= LEAST_SUPPORT) & (F.col("scan") >= LEAST_RATIO * share * F.col("digital"))).orderBy("piece", "to")
+        least = max(LEAST_SUPPORT, LEAST_SHARE * sizes.get(True, 0))
+        kept = count.where((F.col("scan") >= least) & (F.col("scan") >= LEAST_RATIO * share * F.col("digital"))).orderBy("piece", "to")
         rules: dict[str, list[str]] = {}
         for r in kept.collect():  # pairs of pieces of two characters of an alphabet
             # shapes that are mistaken one way may be mistaken the other way
@@ -435,27 +439,32 @@ class Scan:
 
     def _taught_words(self) -> list[tuple[tuple, str]]:
         """Characters of TRAIN_WORDS printed words, spoiled and not, with what the editor has to do."""
-        spark, pairs = self.words.sparkSession, []
         chosen = sample(self._printed(10).where("length(word) > 2 AND NOT word RLIKE '-'"), "word", TRAIN_WORDS)
-        printed = [r["word"] for r in chosen.select("word").collect()]
-        for w in printed:
-            for x in spoil(w, hash_of(w) % len(w), self.rules)[:4] if w.isalpha() else ():
-                pairs += [(x, w, [e[0] for e in p], [f"{e[1]}>{e[2]}" for e in p], "edit") for fixed, p in repairs(x, self.rules) if fixed == w]
-            pairs += [(w, fixed, [e[0] for e in p], [f"{e[1]}>{e[2]}" for e in p], "keep") for fixed, p in repairs(w, self.rules)]
-        if not pairs:
-            return []
-        table = spark.createDataFrame(pairs, "word string, fixed string, places array<int>, reads array<string>, label string")
+        rules, schema = self.rules, "word string, fixed string, places array<int>, reads array<string>, label string"
+
+        def teach(batches):
+            for b in batches:
+                for w in b.column(0).to_pylist():
+                    rows = [(w, x, p, "keep") for x, p in repairs(w, rules)]
+                    for x in spoil(w, hash_of(w) % len(w), rules)[:4] if w.isalpha() else ():
+                        rows += [(x, w, p, "edit") for fixed, p in repairs(x, rules) if fixed == w]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([[e[0] for e in r[2]] for r in rows], pa.list_(pa.int32())), pa.array([[f"{e[1]}>{e[2]}" for e in r[2]] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], names=["word", "fixed", "places", "reads", "label"])
+
+        table = materialize(materialize(chosen.select("word")).mapInArrow(teach, schema))
+        known = self._counted(self._counted(table, "word", "digital", "scanned"), "fixed", "fd", "fs")
+        # of repairs that lead to no known word an eighth is enough
+        known = known.where("label = 'edit' OR fd + fs > 0 OR pmod(xxhash64(fixed), 8) = 0 OR exists(reads, r -> r RLIKE '[0-9]')")
         train = []
-        for r in self._counted(self._counted(table, "word", "digital", "scanned"), "fixed", "fd", "fs").collect():
-            edits, own, known = edits_of(r), (r["digital"], r["scanned"]), (r["fd"], r["fs"])
+        for r in known.collect():
+            edits, own, want = edits_of(r), (r["digital"], r["scanned"]), (r["fd"], r["fs"])
             if r["label"] == "edit":
                 if own[0]:  # the spoiled form is a word itself
                     continue
-                train += edit_features(r["word"], own, r["fixed"], known, edits)
+                train += edit_features(r["word"], own, r["fixed"], want, edits)
                 if digit_between(r["word"], edits):  # as if the word stood nowhere else
                     train += edit_features(r["word"], own, r["fixed"], (0, 0), edits)
-            elif sum(known) or digit_between(r["word"], edits) or hash_of(r["fixed"]) % 8 == 0:
-                train += [(f, "keep") for f, _ in edit_features(r["word"], own, r["fixed"], known, edits)]
+            else:
+                train += [(f, "keep") for f, _ in edit_features(r["word"], own, r["fixed"], want, edits)]
         return train
 
     def _taught_marks(self) -> list[tuple[tuple, str]]:
@@ -503,7 +512,7 @@ class Scan:
         known = self.words.select(F.col("word").alias("fixed"), F.col("digital").alias("fd"), F.col("scanned").alias("fs"))
 
         def judged(rows: DataFrame, many: bool) -> DataFrame:
-            tried = rows.select("word").mapInArrow(_repair_rows(self.rules, many), _REPAIR).join(known, "fixed", "left").where("fd IS NOT NULL OR digit").na.fill(0, ["fd", "fs"]).join(rows, "word")
+            tried = rows.select("word").mapInArrow(_repair_rows(self.rules, many), _REPAIR).hint("merge").join(known, "fixed", "left").where("fd IS NOT NULL OR digit").na.fill(0, ["fd", "fs"]).join(rows, "word")
             made = tried.select("word", "digital", "scanned", "fixed", "fd", "fs", "places", "reads").mapInArrow(_judge(self.editor), "word string, fixed string, places array<int>, score double")
             return materialize(made.groupBy("word").agg(F.max_by(F.struct("fixed", "places"), F.struct("score", "fixed")).alias("b")).select("word", "b.fixed", "b.places"))
 

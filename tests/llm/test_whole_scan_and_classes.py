@@ -16,8 +16,13 @@ def test_every_key_has_a_class(spark):
 
 
 def test_wrong_forms_that_born_digital_text_holds_are_judged(spark):
-    """Fifty places in born-digital text exempt no word in a corpus in which its repair is far more common."""
+    """Fifty places in born-digital text exempt no word in a corpus in which its repair is far more common.
+
+    That a scanner reads t for f is learned from other words.
+    """
     clean, scanned, _ = book(3)
+    clean += [(f"g{i}", "after before field form function proof " * 60, False) for i in range(20)]
+    scanned += [("y", "atter betore the tield or torm of\na tunction, see proot", True, 9)]
     data = [(k, t, s, None, None) for k, t, s in clean] + [(k, t, s, p, p + 1) for k, t, s, p in scanned]
     data += [(f"f{i}", "for " * 400, False, None, None) for i in range(100)] + [("t", "tor " * 60, False, None, None), ("x", "we write it tor all of them\nand for some", True, 5, 6)]
     df = spark.createDataFrame(data, "chunk_id string, body_text string, scanned boolean, page_start int, page_end int").selectExpr("*", "'b' AS book")
