@@ -148,8 +148,15 @@ def line_seed(line: str, features: tuple) -> str | None:
     return "text" if "sharefew" in has and "shortFalse" in has and "numberTrue" not in has and "capsFalse" in has else None
 
 
-def _line_rows(batches):
+def small(batches, rows: int = 400):
+    """Batches of few rows: what is made of one is many times as large."""
     for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _line_rows(batches):
+    for b in small(batches):
         ids, no, slug, keys, edge = [], [], [], [], []
         for k, s, text, first, last in zip(*(b.column(i).to_pylist() for i in range(5))):
             found = lines(text)
@@ -276,7 +283,7 @@ def _scan_page(model: dict, classes: list[str]):
     def run(batches):
         page = AveragedPerceptron(classes)
         page.weights = model
-        for b in batches:
+        for b in small(batches):
             rows = []
             for k, text, first, last, recur in zip(*(b.column(i).to_pylist() for i in range(5))):
                 counts = {x["no"]: (x["n"], x["edges"]) for x in recur or ()}
@@ -305,7 +312,7 @@ def _scan_page(model: dict, classes: list[str]):
 
 
 def _frame_rows(batches):
-    for b in batches:
+    for b in small(batches):
         rows = [(i, frame, piece) for i, w in enumerate(b.column(0).to_pylist()) for frame, piece in frames(w)]
         at = pa.array([r[0] for r in rows], pa.int64())
         yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["word", "n", "read", "frame", "piece"])
