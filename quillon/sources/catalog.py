@@ -1,4 +1,4 @@
-"""Versioned tables on plain Parquet: a directory for each version, a manifest that points at the current one."""
+"""Versioned tables on plain Parquet: a directory for each version, and numbered pointer files, the last of which counts."""
 
 from __future__ import annotations
 
@@ -23,11 +23,11 @@ class GateError(RuntimeError):
 
 @dataclass
 class Catalog:
-    """Tables under ``root``: ``root/<table>/v=<n>``. The manifest ``root/manifest.json`` names each table's version and row count.
+    """Tables under ``root``: ``root/<table>/v=<n>``. ``root/_pointers/<table>/<no>`` name its version and row count.
 
-    Writers build a version beside the current one and flip the pointer after a check of the counts; readers of an older
-    version go on reading it. The manifest is one small file, replaced whole. Files go over Hadoop's file system, so the
-    root may be on any shared store.
+    Writers build a version beside the current one and add a pointer after a check of the counts; readers of an older
+    version go on reading it. Each table has pointers of its own, so writers of different tables don't meet. Files go over
+    Hadoop's file system, so the root may be on any shared store on which a file is created once.
     """
 
     spark: SparkSession
@@ -37,41 +37,55 @@ class Catalog:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _pointers(self, name: str) -> list[int]:
+        path, fs = self._path(f"_pointers/{name}")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(path) if x.getPath().getName().isdigit()) if fs.exists(path) else []
+
+    def _pointer(self, name: str) -> tuple[int, dict]:
+        """Number and content of a table's newest pointer file; 0 and empty where there is none."""
+        for no in reversed(self._pointers(name)):
+            path, fs = self._path(f"_pointers/{name}/{no}")
+            stream = fs.open(path)
+            try:
+                raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+            try:
+                out = json.loads(raw)
+            except ValueError as e:
+                raise GateError("malformed", f"pointer {no} of {name}") from e
+            if not isinstance(out, dict):
+                raise GateError("malformed", f"pointer {no} of {name}")
+            return no, out
+        return 0, {}
+
     def manifest(self) -> dict:
-        """The pointer file; empty where there is none."""
-        path, fs = self._path("manifest.json")
-        if not fs.exists(path):
-            return {}
-        stream = fs.open(path)
+        """The pointer of every table."""
+        path, fs = self._path("_pointers")
+        names = sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+        return {n: p for n in names if (p := self._pointer(n)[1])}
+
+    def _flip(self, name: str, entry: dict, after: int) -> None:
+        """Publish pointer ``after`` + 1 of a table. A pointer is a file of its own, whole when it gets its name, and a number
+        is given once: of two writers that saw the same state one is refused, and readers always find the one before."""
+        path, fs = self._path(f"_pointers/{name}/{after + 1}")
+        temp, _ = self._path(f"_pointers/{name}/.{uuid.uuid4().hex}")
+        out = fs.create(temp, False)
         try:
-            raw = bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
-        try:
-            out = json.loads(raw)
-        except ValueError as e:
-            raise GateError("malformed", "manifest.json") from e
-        if not isinstance(out, dict):
-            raise GateError("malformed", "manifest.json")
-        return out
-
-    def _flip(self, name: str, entry: dict) -> None:
-        now = self.manifest()
-        now[name] = entry
-        path, fs = self._path("manifest.json")
-        temp, _ = self._path(f".manifest-{uuid.uuid4().hex}")
-        out = fs.create(temp)
-        try:
-            out.write(bytearray(json.dumps(now, sort_keys=True).encode()))
+            out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
         finally:
             out.close()
-        if fs.exists(path):
-            fs.delete(path, False)
+        lock, _ = self._path(f"_pointers/{name}/.lock-{after + 1}")
+        try:
+            fs.create(lock, False).close()  # fails if somebody else has taken the number
+        except Exception as e:  # noqa: BLE001 - the file system's own kind of error
+            fs.delete(temp, False)
+            raise GateError("concurrent", f"{name} moved on from pointer {after}") from e
         if not fs.rename(temp, path):
-            raise GateError("concurrent", "manifest.json changed meanwhile")
+            raise GateError("concurrent", f"{name} moved on from pointer {after}")
 
     def version(self, name: str) -> int:
-        return int(self.manifest().get(name, {}).get("version", 0))
+        return int(self._pointer(name)[1].get("version", 0))
 
     def versions(self, name: str) -> list[int]:
         path, fs = self._path(name)
@@ -105,7 +119,8 @@ class Catalog:
         ``expect``: the row count it must have. ``based_on``: the version it was made from; another current one means that
         somebody else published meanwhile.
         """
-        at = self.version(name)
+        pointer, now = self._pointer(name)
+        at = int(now.get("version", 0))
         if based_on is not None and based_on != at:
             raise GateError("concurrent", f"{name} is at {at}, not {based_on}")
         v = max([at, *self.versions(name)]) + 1
@@ -114,21 +129,21 @@ class Catalog:
         rows = self.scan(name, v).count()
         if expect is not None and rows != expect:
             raise GateError("count", f"{name} v{v} has {rows} rows, expected {expect}")
-        if self.version(name) != at:
-            raise GateError("concurrent", f"{name} moved on from {at}")
-        self._flip(name, {"version": v, "rows": rows, "created_at": time.time()})
+        self._flip(name, {"version": v, "rows": rows, "created_at": time.time()}, pointer)
         return v
 
     def rollback(self, name: str, version: int) -> None:
         """Point at an earlier version; no data moves."""
+        pointer, _ = self._pointer(name)
         rows = self.scan(name, version).count()
-        self._flip(name, {"version": version, "rows": rows, "created_at": time.time()})
+        self._flip(name, {"version": version, "rows": rows, "created_at": time.time()}, pointer)
 
     def reconcile(self, name: str) -> dict:
         """Count the current version again and write the pointer anew: {rows, before, diverged}."""
-        v, before = self.version(name), self.manifest().get(name, {}).get("rows")
+        pointer, now = self._pointer(name)
+        v, before = int(now.get("version", 0)), now.get("rows")
         rows = self.scan(name, v).count()
-        self._flip(name, {"version": v, "rows": rows, "created_at": time.time()})
+        self._flip(name, {"version": v, "rows": rows, "created_at": time.time()}, pointer)
         return {"rows": rows, "before": before, "diverged": before != rows}
 
     def prune_plan(self, name: str, ages: DataFrame, keep_days: float = 7, pinned: int | None = None) -> DataFrame:
