@@ -1,9 +1,10 @@
 """Problem 3: the most similar vectors of every vector.
 
-NN-descent on Spark. The start is sparse: the nearest of one hash bucket, and random meetings that are no links. In every
-round the vectors that are neighbours of one vector, or have it for a neighbour, meet there; pairs of which one is new there
-are compared, and better links take the place of worse ones, until next to no link is new. Vectors travel as 8-bit
-numbers; the links that count are compared again by 16-bit ones. New vectors are answered by greedy search on the graph.
+NN-descent on Spark. The start is sparse: the nearest of one hash bucket. In every round the vectors that are neighbours of
+one vector, or have it for a neighbour, meet there, and pairs of which one is new there are compared; and all vectors meet in
+the cells of rotations drawn for this round, which is how groups that no link leads to find each other, however many there
+are. Better links take the place of worse ones, until next to no link is new. New vectors are answered by greedy search on
+the graph.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from quillon.session import broadcast_if_small, materialize
 
 #: Neighbours kept of each vector while the graph is built, and vectors sampled of those that have it for a neighbour.
 KEEP, REVERSE = 16, 16
-#: In the first round each vector visits so many random blocks, and so many random vectors in each.
-VISITS, MEETINGS = 3, 7
+#: Rotations of each round, and vectors of a cell that they aim at.
+ROTATIONS, CELL = 3, 2048
 #: Vectors that have one for a neighbour from which on only so many of them, chosen by a hash, are told to meet there; found on
 #: one link in PROBE.
 HUB, PROBE = 1024, 16
@@ -33,10 +34,12 @@ BUCKET, WINDOW, BLOCK = 32, 512, 8192
 SENT = 12
 #: The rounds end when fewer than this share of all links is new, or after so many.
 SETTLED, MOST_ROUNDS = 0.001, 15
+#: The same for a graph of links of a least cosine only: nothing but what is asked for is new there.
+SETTLED_FOUND = 0.0001
 #: Vectors are kept as unit vectors of 16-bit numbers: cosines are exact to about 1e-5, equal vectors stay equal.
 SCALE = 32767
-#: Cosines of 8-bit vectors are at most so far off.
-COARSE = 0.01
+#: Cosines of 32-bit floats are at most so far off.
+NEAR = 1e-5
 
 
 def unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,18 +56,12 @@ def unit(lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[ok], np.rint(x * SCALE).astype(np.int16)
 
 
-def coarse(q: np.ndarray) -> np.ndarray:
-    """16-bit vectors as 8-bit ones, each with its largest entry at 127."""
-    big = np.maximum(1, np.abs(q.astype(np.int32)).max(1, initial=0))
-    return np.rint(q * (127 / big)[:, None]).astype(np.int8)
-
-
 class Hasher:
     """A cross-polytope hash: the nearest of the signed axes after a random rotation, digit by digit."""
 
-    def __init__(self, dim: int, rows: int, seed: int = 7):
+    def __init__(self, dim: int, rows: int, seed: int = 7, bucket: int = BUCKET):
         rng = np.random.default_rng(seed)
-        need, digits = max(2, rows // BUCKET), []
+        need, digits = max(2 if bucket == BUCKET else 1, rows // bucket), []
         while need > 1:
             digits.append(min(dim, max(1, -(-need // 2))))
             need //= 2 * digits[-1]
@@ -87,37 +84,70 @@ def _binary(q: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * q.itemsize * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(q).tobytes())])
 
 
-def _matrix(column: pa.Array, dim: int, kind=np.int16) -> np.ndarray:
-    """Exact integers in doubles (their products sum exactly, in whatever order), or floats if they are of 8 bits."""
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Exact integers in doubles: their products sum exactly, in whatever order."""
+    return _whole(column, dim).astype(np.float64)
+
+
+def _flat(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(how many values each row holds, all values) of a binary column of values of ``kind``; null rows have none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    to, wide = (np.float64, 2) if kind == np.int16 else (np.float32, 1)
+    kind = np.dtype(kind)
     if not len(column):
-        return np.zeros((0, dim), to)
-    offs = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], kind, offset=int(offs[0]), count=int(offs[-1] - offs[0]) // wide).reshape(-1, dim).astype(to)
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    if column.null_count:
+        column = column.fill_null(b"")
+    offs = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if offs[0] == offs[-1]:
+        return np.zeros(len(column), np.int64), np.zeros(0, kind)
+    return np.diff(offs) // kind.itemsize, np.frombuffer(column.buffers()[2], kind, offset=int(offs[0]), count=int(offs[-1] - offs[0]) // kind.itemsize)
+
+
+def _blobs(counts: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary column; row i holds the next ``counts[i]`` values."""
+    offs = np.concatenate(([0], np.cumsum(counts))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
 
+def _whole(column: pa.Array, dim: int) -> np.ndarray:
+    return _flat(column, np.int16)[1].reshape(-1, dim)
 
-def _coarse(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit vectors as whole numbers (their products sum exactly, so a pair has the same cosine wherever it meets), and 1 / length."""
-    x = _matrix(column, dim, np.int8).astype(np.float32 if dim * 127**2 < 1 << 24 else np.float64)
-    return x, (1 / np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(1)), 1)).astype(np.float32)
+
+def _units(q: np.ndarray) -> np.ndarray:
+    x = q.astype(np.float32)
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1)[:, None]
+
+
+def _exact(q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of rows, the same wherever a pair meets."""
+    out = np.zeros(len(i))
+    for lo in range(0, len(i), 50_000):
+        x, y = q[i[lo : lo + 50_000]].astype(np.float64), q[j[lo : lo + 50_000]].astype(np.float64)
+        out[lo : lo + 50_000] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return out
+
+
+#: A link in the row of a vector: to v, which lives in block pv. Rows of a graph: best links first.
+LINK = np.dtype([("v", "<i8"), ("sim", "<f8"), ("pv", "<i4"), ("fresh", "<i4")])
+_GRAPH = "u long, pu int, space int, q binary, links binary, size long, fresh long"
 
 
 class Links(NamedTuple):
-    """Columns of found links: of u, to v, which lives in block pv."""
+    """Columns of found links: of u, which lives in block pu, to v, which lives in block pv."""
 
     u: np.ndarray
+    pu: np.ndarray
     v: np.ndarray
     pv: np.ndarray
     sim: np.ndarray
 
     def table(self):
-        return pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.v, pa.int64()), pa.array(self.pv, pa.int32()), pa.array(self.sim, pa.float32())], names=["u", "v", "pv", "sim"])
+        return pa.RecordBatch.from_arrays([pa.array(self.u, pa.int64()), pa.array(self.pu, pa.int32()), pa.array(self.v, pa.int64()), pa.array(self.pv, pa.int32()), pa.array(self.sim, pa.float64())], names=["u", "pu", "v", "pv", "sim"])
 
 
-_LINK = "u long, v long, pv int, sim float"
-_NONE = Links(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+_LINK = "u long, pu int, v long, pv int, sim double"
+_NONE = Links(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
 
 
 def best(links: Links, keep: int) -> Links:
@@ -133,40 +163,92 @@ def best(links: Links, keep: int) -> Links:
     return Links(*(c[top] for c in links))
 
 
-def _bucket_links(dim: int, keep: int):
-    """Batches sorted by code to links of the vectors of each bucket; a bucket over WINDOW in overlapping windows of its order."""
+def _mark(ids: np.ndarray, no: int) -> np.ndarray:
+    """16 bits of an id that tell in round ``no`` which links a vector has; other ids fall together in other rounds."""
+    salt = np.uint64(0x9E3779B97F4A7C15 * (no + 1) & 0xFFFFFFFFFFFFFFFF)
+    return (((ids.astype(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+
+
+def _least(counts: np.ndarray, links: np.ndarray, keep: int, floor: float) -> np.ndarray:
+    """The cosine from which on a link is better than the last of a full row, or counts at all."""
+    out = np.full(len(counts), floor)
+    full = np.flatnonzero(counts >= keep)
+    out[full] = np.maximum(floor, links["sim"][np.cumsum(counts)[full] - 1])
+    return out
+
 
-    def links(code, ids, p, x, short):
+def _known(counts: np.ndarray, marks: np.ndarray, keep: int) -> np.ndarray:
+    known = np.full((len(counts), keep), 1 << 20)
+    row = np.repeat(np.arange(len(counts)), counts)
+    known[row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = marks
+    return known
+
+
+_CELL = "code long, u long, pu int, q binary, least double, known binary"
+
+
+def _visit(dim: int, hashers: list[Hasher], keep: int, no: int, floor: float):
+    """Rows of the graph to one row for each rotation, with the vector's cell there."""
+
+    def run(batches):
+        for b in batches:
+            q, (counts, links) = _whole(b.column("q"), dim), _flat(b.column("links"), LINK)
+            least, known = pa.array(_least(counts, links, keep, floor)), _blobs(counts, _mark(links["v"], no))
+            space = b.column("space").to_numpy().astype(np.int64)
+            for t, hasher in enumerate(hashers):
+                code = hasher.codes(q, space * len(hashers) + t)
+                yield pa.RecordBatch.from_arrays([pa.array(code), b.column("u"), b.column("pu"), b.column("q"), least, known], names=[x.split()[0] for x in _CELL.split(", ")])
+
+    return run
+
+
+def _cell_links(dim: int, keep: int, window: int, sent: int, no: int = 0):
+    """Batches sorted by code to links of the vectors of each cell; one over ``window`` in overlapping windows of its order."""
+
+    def links(code, ids, p, q, least, known):
         cut = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
-        out = []
+        x, tag, near, out = _units(q), _mark(ids, no), (least - NEAR).astype(np.float32), []
         for a, b in zip(cut[:-1], cut[1:]):
-            for lo in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2) if b - a > WINDOW else (a,):
-                hi = min(b, lo + WINDOW)
+            for lo in range(a, max(a + 1, b - window // 2), window // 2) if b - a > window else (a,):
+                hi = min(b, lo + window)
                 if hi - lo < 2:
                     continue
-                s = (x[lo:hi] @ x[lo:hi].T) * (short[lo:hi, None] * short[None, lo:hi])
-                np.fill_diagonal(s, -2)
-                k = min(keep, hi - lo - 1)
-                j = np.argpartition(-s, k - 1, axis=1)[:, :k].reshape(-1)
-                i = np.repeat(np.arange(hi - lo), k)
-                out.append((i + lo, j + lo, s[i, j]))
+                for at in range(lo, hi, 512):
+                    to = min(hi, at + 512)
+                    s = x[at:to] @ x[lo:hi].T
+                    s[np.arange(to - at), np.arange(at - lo, to - lo)] = -2
+                    flat = np.flatnonzero(s >= near[at:to, None])
+                    if flat.size > 2 * (keep + sent) * (to - at):
+                        k = min(keep + sent, hi - lo - 1)
+                        j = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                        flat = (j + np.arange(to - at)[:, None] * (hi - lo)).ravel()
+                        flat = flat[s.ravel()[flat] >= np.repeat(near[at:to], k)]
+                    i, j = np.divmod(flat, hi - lo)
+                    i, j = i + at, j + lo
+                    new = ~(known[i] == tag[j, None]).any(1)
+                    i, j = i[new], j[new]
+                    out.append(best(Links(i, p[i], j, p[j], s.ravel()[flat[new]]), sent))
         if not out:
             return _NONE
-        i, j, s = (np.concatenate(c) for c in zip(*out))
-        return best(Links(ids[i], ids[j], p[j], s), keep)
+        i, _, j, _, _ = (np.concatenate(c) for c in zip(*out))
+        sim = _exact(q, i, j)
+        ok = sim >= least[i]
+        i, j, sim = i[ok], j[ok], sim[ok]
+        return best(Links(ids[i], p[i], ids[j], p[j], sim), sent)
 
     def run(batches):
         held, size = [], 0
         for b in batches:
             if b.num_rows:
-                held.append((b.column(0).to_numpy() >> 16, b.column(1).to_numpy(), b.column(2).to_numpy(), *_coarse(b.column(3), dim)))
+                counts, marks = _flat(b.column(5), np.int16)
+                held.append((b.column(0).to_numpy() >> 16, b.column(1).to_numpy(), b.column(2).to_numpy(), _whole(b.column(3), dim), b.column(4).to_numpy(), _known(counts, marks, keep)))
                 size += b.num_rows
             if size >= 20_000:
                 cols = [np.concatenate(c) for c in zip(*held)]
-                # the last bucket waits for its rest; one that is larger than that goes on from its last window
+                # the last cell waits for its rest; one that is larger than that goes on from its last window
                 last = int(np.searchsorted(cols[0], cols[0][-1]))
                 upto = last if size - last <= 10_000 else size
-                last = last if upto < size else size - WINDOW // 2
+                last = last if upto < size else size - window // 2
                 yield links(*(c[:upto] for c in cols)).table()
                 held, size = [tuple(c[last:] for c in cols)], size - last
         if held:
@@ -175,81 +257,58 @@ def _bucket_links(dim: int, keep: int):
     return run
 
 
-#: Stands for a centre: any vectors of the block.
-_ANY = np.iinfo(np.int64).min
 #: Marks of a vector at a centre: new there; one of the centre's own neighbours (all of those meet, of the others a sample).
 _NEW, _OWN = 1, 2
-_SENT = "p int, u long, pu int, space int, c binary, least float, centres array<long>, marks array<byte>, known array<short>"
-
-
-def _mark(ids: np.ndarray, no: int) -> np.ndarray:
-    """16 bits of an id that tell in round ``no`` which links a vector has; other ids fall together in other rounds."""
-    salt = np.uint64(0x9E3779B97F4A7C15 * (no + 1) & 0xFFFFFFFFFFFFFFFF)
-    return (((ids.astype(np.uint64) ^ salt) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+_SENT = "p int, u long, pu int, q binary, least double, centres binary, marks binary, known binary"
+_TOLD = "pv int, v long, u long, pu int, fresh int"
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of a list column; null lists have none."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(len(column)), n), column.flatten()
+def _tell(batches):
+    """Rows of the graph to one row for each link, for the vector that it leads to."""
+    for b in batches:
+        counts, links = _flat(b.column("links"), LINK)
+        at = pa.array(np.repeat(np.arange(b.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([pa.array(links["pv"]), pa.array(links["v"]), b.column("u").take(at), b.column("pu").take(at), pa.array(links["fresh"])], names=[x.split()[0] for x in _TOLD.split(", ")])
 
 
-def _ragged(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), pa.array(values, kind))
+def _named(schema: str, *columns) -> pa.Table:
+    return pa.Table.from_arrays(list(columns), names=[x.split()[0] for x in schema.split(", ")])
 
 
-def _send(keep: int, blocks: int, no: int):
-    """Rows (u, pu, space, c, links, back) to one row for each block where the vector has to be, with the centres it meets at.
+def _send(keep: int, no: int, floor: float):
+    """A block of the graph, and what its vectors are told, to one row for each block where a vector has to be.
 
-    A vector meets at itself, at its neighbours, and at those that have it for a neighbour (``back``).
+    A vector meets at itself, at its neighbours, and at those that have it for a neighbour. One without new links, that no
+    other newly has, is there all the same: another pair may be new at the centre.
     """
 
-    visits = 0 if no else VISITS
-
-    def run(batches):
-        rng = np.random.default_rng(3)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 4000):
-                b = whole.slice(lo, 4000)
-                n, u, pu = b.num_rows, b.column(0).to_numpy(), b.column(1).to_numpy()
-                row, links = _lists(b.column(4))
-                v, pv, new, far = (links.field(f).to_numpy(zero_copy_only=False) for f in ("v", "pv", "fresh", "far"))
-                brow, back = _lists(b.column(5))
-                bu, bp, bnew = (back.field(f).to_numpy(zero_copy_only=False) for f in ("u", "pu", "fresh"))
-                every = np.arange(n)
-                rows = np.concatenate([every, row, brow, np.repeat(every, visits)])
-                p = np.concatenate([pu, pv, bp, rng.integers(0, blocks, n * visits)]).astype(np.int64)
-                centre = np.concatenate([u, v, bu, np.full(n * visits, _ANY)])
-                mark = np.concatenate([np.full(n, _OWN), new * _NEW, bnew * _NEW + _OWN, np.full(n * visits, _NEW)]).astype(np.int8)
-                order = np.lexsort((p, rows))
-                rows, p, centre, mark = rows[order], p[order], centre[order], mark[order]
-                cut = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (p[1:] != p[:-1])))) if n else np.zeros(0, np.int64)
-                count = np.bincount(row, minlength=n)
-                least = np.full(n, -2, np.float32)
-                full = np.flatnonzero(count >= keep)
-                least[full] = -far[np.cumsum(count)[full] - 1]
-                known = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(_mark(v, no)))
-                at = pa.array(rows[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(p[cut], pa.int32()), *(b.column(i).take(at) for i in range(4)), pa.array(least).take(at), _ragged(centre, cut, pa.int64()), _ragged(mark, cut, pa.int8()), known.take(at)], names=[x.split()[0] for x in _SENT.split(", ")])
+    def run(graph: pa.Table, told: pa.Table) -> pa.Table:
+        u, pu = graph["u"].to_numpy(), graph["pu"].to_numpy()
+        n, (counts, links) = len(u), _flat(graph["links"], LINK)
+        order = np.argsort(u)
+        v = told["v"].to_numpy()
+        brow = order[np.searchsorted(u[order], v)] if n else np.zeros(0, np.int64)
+        row, every = np.repeat(np.arange(n), counts), np.flatnonzero((counts > 0) | (np.bincount(brow, minlength=n) > 0))
+        rows = np.concatenate([every, row, brow])
+        p = np.concatenate([pu[every], links["pv"], told["pu"].to_numpy()]).astype(np.int64)
+        centre = np.concatenate([u[every], links["v"], told["u"].to_numpy()])
+        mark = np.concatenate([np.full(len(every), _OWN), links["fresh"] * _NEW, told["fresh"].to_numpy() * _NEW + _OWN]).astype(np.int8)
+        order = np.lexsort((p, rows))
+        rows, p, centre, mark = rows[order], p[order], centre[order], mark[order]
+        cut = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (p[1:] != p[:-1])))) if len(rows) else np.zeros(0, np.int64)
+        size, at = np.diff(np.append(cut, len(rows))), pa.array(rows[cut])
+        least, known = pa.array(_least(counts, links, keep, floor)), _blobs(counts, _mark(links["v"], no))
+        return _named(_SENT, pa.array(p[cut], pa.int32()), *(graph[c].combine_chunks().take(at) for c in ("u", "pu", "q")), least.take(at), _blobs(size, centre), _blobs(size, mark), known.take(at))
 
     return run
 
 
-def _seats(table: pa.Table, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, members, new) of the centres of a block: members of one centre stand together from its start on."""
-    member, centre = _lists(table.column("centres"))
-    centre = centre.to_numpy(zero_copy_only=False)
-    mark = _lists(table.column("marks"))[1].to_numpy(zero_copy_only=False)
-    here, space = table.column("p")[0].as_py(), table.column("space").to_numpy()
-    visit = centre == _ANY
-    drawn, rng = [], np.random.default_rng(here)
-    for s in np.unique(space[member[visit]]):
-        home = np.flatnonzero((own == here) & (space == s))
-        guest = np.repeat(member[visit & (space[member] == s)], MEETINGS)
-        if home.size:
-            drawn.append((guest, ids[home[rng.integers(0, home.size, guest.size)]], np.full(guest.size, _NEW, np.int8)))
-    member, centre, mark = (np.concatenate(x) for x in zip((member[~visit], centre[~visit], mark[~visit]), *drawn))
+def _seats(table: pa.Table, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, member, new) of the centres of a block: members of one centre stand together."""
+    count, centre = _flat(table["centres"], np.int64)
+    member, mark = np.repeat(np.arange(len(ids)), count), _flat(table["marks"], np.int8)[1]
+    if not len(member):
+        return centre, member, np.zeros(0, bool)
     order = np.lexsort((member, centre))
     member, centre, mark = member[order], centre[order], mark[order]
     first = np.flatnonzero(np.concatenate(([True], (centre[1:] != centre[:-1]) | (member[1:] != member[:-1]))))
@@ -262,8 +321,7 @@ def _seats(table: pa.Table, ids, own) -> tuple[np.ndarray, np.ndarray, np.ndarra
     start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
     size = np.diff(np.append(start, len(centre)))
     place = np.arange(len(centre)) - np.repeat(start + np.add.reduceat(owned, start, dtype=np.int64), size)
-    # visitors of the first round are not sampled
-    keep = owned | (place < REVERSE + (VISITS * MEETINGS if drawn else 0))
+    keep = owned | (place < REVERSE)
     return centre[keep], member[keep], new[keep]
 
 
@@ -275,15 +333,14 @@ def _meet(dim: int, keep: int, no: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, own, least = (table.column(c).to_numpy() for c in ("u", "pu", "least"))
-        x, short = _coarse(table.column("c"), dim)
-        row, had = _lists(table.column("known"))
-        known, tag = np.full((len(ids), keep), 1 << 20), _mark(ids, no)
-        known[row, np.arange(len(row)) - np.searchsorted(row, row)] = had.to_numpy(zero_copy_only=False)
-        centre, member, fresh = _seats(table, ids, own)
-        start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
+        ids, own, least = (table[c].to_numpy() for c in ("u", "pu", "least"))
+        q = _whole(table["q"], dim)
+        x, near = _units(q), (least - NEAR).astype(np.float32)
+        known, tag = _known(*_flat(table["known"], np.int16), keep), _mark(ids, no)
+        centre, member, fresh = _seats(table, ids)
+        start = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1]))) if len(centre) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(centre)))
-        live = (np.add.reduceat(fresh, start, dtype=np.int64) > 0) & (size > 1)
+        live = (np.add.reduceat(fresh, start, dtype=np.int64) > 0) & (size > 1) if len(start) else np.zeros(0, bool)
         start, size = start[live], size[live]
         order = np.argsort(size, kind="stable")
         start, size, found, at = start[order], size[order], [], 0
@@ -295,17 +352,52 @@ def _meet(dim: int, keep: int, no: int):
             real = np.arange(wide) < size[at:to, None]
             slot = np.where(real, start[at:to, None] + np.arange(wide), start[at:to, None])
             m, new = member[slot], fresh[slot] & real
-            s = np.matmul(x[m], x[m].transpose(0, 2, 1)) * (short[m][:, :, None] * short[m][:, None, :])
-            c, i, j = np.nonzero((s > least[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :])
+            y = x[m]
+            s = np.matmul(y, y.transpose(0, 2, 1))
+            c, i, j = np.nonzero((s >= near[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :])
             u, v = m[c, i], m[c, j]
             other = np.flatnonzero(u != v)
             other = other[~(known[u[other]] == tag[v[other], None]).any(1)]
-            found.append(Links(u[other], v[other], own[v[other]], s[c[other], i[other], j[other]]))
+            found.append(Links(u[other], own[u[other]], v[other], own[v[other]], s[c[other], i[other], j[other]]))
             if sum(len(f.u) for f in found) > 2_000_000:
                 found = [best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT))]
             at = to
         got = best(Links(*(np.concatenate(c) for c in zip(*found))), min(keep, SENT)) if found else _NONE
-        return pa.Table.from_batches([Links(ids[got.u], ids[got.v], got.pv, got.sim).table()])
+        sim = _exact(q, got.u, got.v)
+        ok = sim >= least[got.u]
+        return pa.Table.from_batches([Links(ids[got.u[ok]], got.pu[ok], ids[got.v[ok]], got.pv[ok], sim[ok]).table()])
+
+    return run
+
+
+def _merge(keep: int):
+    """A block of the graph and the links found for its vectors to the graph after the round.
+
+    What is there was met in this round, or left out by its sample, and is old from now on.
+    """
+
+    def run(graph: pa.Table, found: pa.Table) -> pa.Table:
+        u = graph["u"].to_numpy()
+        counts, old = _flat(graph["links"], LINK)
+        order = np.argsort(u)
+        more = np.zeros(found.num_rows, LINK)
+        for c in ("v", "pv", "sim"):
+            more[c] = found[c].to_numpy()
+        more["fresh"] = 1
+        row = np.concatenate([np.repeat(np.arange(len(u)), counts), order[np.searchsorted(u[order], found["u"].to_numpy())] if len(u) else np.zeros(0, np.int64)])
+        links = np.concatenate([old, more])
+        links["fresh"][: len(old)] = 0
+        by = np.lexsort((links["fresh"], links["v"], row))
+        row, links = row[by], links[by]
+        once = np.ones(len(row), bool)
+        once[1:] = (row[1:] != row[:-1]) | (links["v"][1:] != links["v"][:-1])
+        row, links = row[once], links[once]
+        by = np.lexsort((links["v"], -links["sim"], row))
+        row, links = row[by], links[by]
+        top = np.arange(len(row)) - np.searchsorted(row, row) < keep
+        row, links = row[top], links[top]
+        size = np.bincount(row, minlength=len(u))
+        return _named(_GRAPH, *(graph[c].combine_chunks() for c in ("u", "pu", "space", "q")), _blobs(size, links), pa.array(size, pa.int64()), pa.array(np.bincount(row, links["fresh"], minlength=len(u)).astype(np.int64)))
 
     return run
 
@@ -324,23 +416,23 @@ def _forget(old: DataFrame) -> None:
 class NeighbourGraph:
     """The neighbour graph of a table of vectors, built by NN-descent.
 
-    ``vectors``: (id, p, q, c, space) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
-    the least KEEP of them; ``graph``: (u, pu, c, links) with links (far, v, pv, fresh), best first. ``shares``: the share
-    of new links of each round.
+    ``vectors``: (id, p, q, code, space) distinct vectors; ``members``: (id, key) the rows that hold each; ``first``: (id, keys)
+    the least KEEP of them; ``graph``: (u, pu, space, q, links) with links as LINK, best first. ``shares``: the share of new
+    links of each round. ``floor``: links of a lower cosine are not wanted, and are neither kept nor sent.
 
     Null, zero, not finite and wrong-length vectors and null keys take no part; ``dim`` None takes the most frequent length.
     Repeated rows count once, equal vectors are one node. ``space``: a column that keeps tables apart (vectors of different
     spaces are never linked). The rounds go on until the graph stands still; at a vector all its neighbours meet, and a sample of
     those that have it for one (new ones first), and a bucket over WINDOW begins with links within windows: no vector is left out,
-    the links that miss are found over other neighbours.
+    the links that miss are found over other neighbours, or in a cell of another round.
     """
 
-    def __init__(self, df: DataFrame, key: str, vector: str, space: str | None = None, keep: int = KEEP, dim: int | None = None, rounds: int = MOST_ROUNDS):
+    def __init__(self, df: DataFrame, key: str, vector: str, space: str | None = None, keep: int = KEEP, dim: int | None = None, rounds: int = MOST_ROUNDS, floor: float = -2.0):
         rows = df.select(F.col(key).cast("string").alias("key"), (F.col(space).cast("int") if space else F.lit(0)).alias("space"), F.col(vector).cast("array<float>").alias("vector")).where("key IS NOT NULL AND vector IS NOT NULL")
         sizes = rows.groupBy(F.size("vector").alias("n")).count().where("n > 0").orderBy(F.desc("count"), "n").limit(1).collect() if dim is None else []
-        self.dim, self.keep = dim or (sizes[0]["n"] if sizes else 1), keep
+        self.dim, self.keep, self.floor = dim or (sizes[0]["n"] if sizes else 1), keep, floor
         count = sizes[0]["count"] if sizes else rows.count()
-        self.hasher, self.blocks = Hasher(self.dim, count), max(8, -(-count // BLOCK))
+        self.count, self.hasher, self.blocks = count, Hasher(self.dim, count), max(8, -(-count // BLOCK))
         dim_, hasher = self.dim, self.hasher
 
         def prepare(batches):
@@ -350,70 +442,67 @@ class NeighbourGraph:
                     continue
                 take = pa.array(at)
                 space_ = b.column(1).take(take)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), _binary(coarse(q)), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "q", "c", "code"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), space_, _binary(q), pa.array(hasher.codes(q, space_.to_numpy().astype(np.int64)))], names=["key", "space", "q", "code"])
 
-        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, c binary, code long").withColumn("id", F.xxhash64("space", "q")))
+        made = materialize(rows.mapInArrow(prepare, "key string, space int, q binary, code long").withColumn("id", F.xxhash64("space", "q")))
         self.members = materialize(made.select("id", "key").distinct())
-        distinct = made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "c", "space", "code")))
+        distinct = made.groupBy("id").agg(*(F.first(c).alias(c) for c in ("q", "space", "code")))
         # a block is a set of whole buckets; a bucket of more than a block is spread
         bucket = F.shiftright("code", 16)
         hot = made.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
         split = F.when(F.col("n").isNotNull(), F.pmod("id", F.ceil(F.col("n") / BLOCK))).otherwise(0)
         placed = distinct.withColumn("bucket", bucket).join(hot, "bucket", "left")
-        self.vectors = materialize(placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(self.blocks)).cast("int").alias("p"), "q", "c", "space", "code"))
+        self.vectors = materialize(placed.select("id", F.pmod(F.xxhash64("bucket", split), F.lit(self.blocks)).cast("int").alias("p"), "q", "space", "code"))
         _forget(made)
         first = self.members.withColumn("n", F.row_number().over(W.partitionBy("id").orderBy("key"))).where(f"n <= {keep}")
         self.first = first.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
         self.shares: list[float] = []
         self.graph = self._descend(self._initial(), rounds)
 
-    def _ranked(self, links: DataFrame) -> DataFrame:
-        """(u, more): the best of each vector. Found links of one vector are few: SENT of each block that it was sent to."""
-        one = F.collect_set(F.struct((-F.col("sim")).alias("far"), "v", "pv", F.lit(True).alias("fresh")))
-        return links.groupBy("u").agg(F.slice(F.array_sort(one), 1, self.keep).alias("more"))
+    def _merged(self, graph: DataFrame, found: DataFrame) -> DataFrame:
+        return materialize(graph.groupBy("pu").cogroup(found.groupBy("pu")).applyInArrow(_merge(self.keep), _GRAPH))
 
     def _initial(self) -> DataFrame:
-        placed = self.vectors.select("code", "id", "p", "c").repartitionByRange("code").sortWithinPartitions("code")
-        links = self._ranked(placed.mapInArrow(_bucket_links(self.dim, self.keep), _LINK))
-        old = F.transform("more", lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
-        return materialize(self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "c", "space").join(links.withColumn("more", old), "u", "left").withColumnRenamed("more", "links"))
+        placed = self.vectors.select("code", F.col("id").alias("u"), F.col("p").alias("pu"), "q", F.lit(self.floor).alias("least"), F.lit(b"").alias("known"))
+        links = placed.repartitionByRange("code").sortWithinPartitions("code").mapInArrow(_cell_links(self.dim, self.keep, WINDOW, self.keep), _LINK)
+        empty = self.vectors.select(F.col("id").alias("u"), F.col("p").alias("pu"), "space", "q", F.lit(b"").alias("links"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("fresh"))
+        return self._merged(empty, links)
 
     def _round(self, graph: DataFrame, no: int) -> DataFrame:
-        links = graph.where("links IS NOT NULL").select("u", "pu", F.explode("links").alias("l")).select("u", "pu", F.col("l.v").alias("v"), F.col("l.fresh").alias("fresh"))
-        probe = links.where(F.pmod(F.xxhash64("u", "v"), F.lit(PROBE)) == 0).groupBy("v").agg((F.count(F.lit(1)) * PROBE).alias("n")).where(f"n > {HUB}")
-        told = links.join(broadcast_if_small(materialize(probe)), "v", "left").where(f"n IS NULL OR pmod(xxhash64(v, u), n) < {HUB}")
-        back = told.groupBy("v").agg(F.collect_list(F.struct("u", "pu", "fresh")).alias("back")).withColumnRenamed("v", "u")
-        ready = graph.join(back, "u", "left").select("u", "pu", "space", "c", "links", "back")
-        met = ready.mapInArrow(_send(self.keep, self.blocks, no), _SENT).groupBy("p").applyInArrow(_meet(self.dim, self.keep, no), _LINK)
-        # what is there was met in this round, or left out by its sample, and is old from now on
-        have = F.transform(F.coalesce("links", F.array()), lambda x: F.struct(x.far.alias("far"), x.v.alias("v"), x.pv.alias("pv"), F.lit(False).alias("fresh")))
-        both = F.slice(F.array_sort(F.concat(have, F.coalesce("more", F.array()))), 1, self.keep)
-        return materialize(graph.join(self._ranked(met), "u", "left").select("u", "pu", "c", "space", both.alias("links")))
+        told = graph.mapInArrow(_tell, _TOLD)
+        hubs = materialize(told.where(F.pmod(F.xxhash64("u", "v"), F.lit(PROBE)) == 0).groupBy("v").agg((F.count(F.lit(1)) * PROBE).alias("n")).where(f"n > {HUB}"))
+        if not hubs.isEmpty():
+            told = told.join(broadcast_if_small(hubs), "v", "left").where(f"n IS NULL OR pmod(xxhash64(v, u), n) < {HUB}").select("pv", "v", "u", "pu", "fresh")
+        sent = graph.groupBy("pu").cogroup(told.groupBy("pv")).applyInArrow(_send(self.keep, no, self.floor), _SENT)
+        met = sent.groupBy("p").applyInArrow(_meet(self.dim, self.keep, no), _LINK)
+        hashers = [Hasher(self.dim, self.count, 1000 + no * ROTATIONS + t, CELL) for t in range(ROTATIONS)]
+        cells = graph.mapInArrow(_visit(self.dim, hashers, self.keep, no, self.floor), _CELL).repartition(F.shiftright("code", 16)).sortWithinPartitions("code")
+        return self._merged(graph, met.unionByName(cells.mapInArrow(_cell_links(self.dim, self.keep, 2 * CELL, min(self.keep, SENT), no), _LINK)))
 
     def _descend(self, graph: DataFrame, rounds: int) -> DataFrame:
         for no in range(rounds):
             after = self._round(graph, no)
-            r = after.select(F.sum(F.size(F.filter("links", lambda x: x.fresh))).alias("new"), F.sum(F.size("links")).alias("all")).head()
+            r = after.agg(F.sum("fresh").alias("new"), F.sum("size").alias("all")).head()
             _forget(graph)
             graph = after
             self.shares.append((r["new"] or 0) / max(1, r["all"] or 0))
-            if self.shares[-1] < SETTLED:
+            if self.shares[-1] < (SETTLED if self.floor < -1 else SETTLED_FOUND):
                 break
         return graph
 
-    def links(self, least: float) -> DataFrame:
-        """(u, v, sim): the links of the graph of at least that cosine, compared by the 16-bit vectors."""
-        dim = self.dim
+    def _all_links(self) -> DataFrame:
+        """(u, v, sim): the links of the graph."""
 
-        def exact(batches):
+        def run(batches):
             for b in batches:
-                s = _cosines(b.column(2), b.column(3), dim)
-                keep = pa.array(s >= least)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["u", "v", "sim"]).filter(keep)
+                counts, links = _flat(b.column("links"), LINK)
+                yield pa.RecordBatch.from_arrays([b.column("u").take(pa.array(np.repeat(np.arange(b.num_rows), counts))), pa.array(links["v"]), pa.array(links["sim"])], names=["u", "v", "sim"])
+
+        return self.graph.select("u", "links").mapInArrow(run, "u long, v long, sim double")
 
-        near = self.graph.select("u", F.explode("links").alias("l")).select("u", F.col("l.v").alias("v"), (-F.col("l.far")).alias("sim")).where(F.col("sim") >= least - COARSE)
-        q = self.vectors.select("id", "q")
-        return near.join(q.toDF("v", "qv"), "v").join(q.toDF("u", "qu"), "u").select("u", "v", "qu", "qv").mapInArrow(exact, "u long, v long, sim double")
+    def links(self, least: float) -> DataFrame:
+        """(u, v, sim): the links of the graph of at least that cosine."""
+        return self._all_links().where(F.col("sim") >= least)
 
     def neighbours(self, k: int, least: float) -> DataFrame:
         """(key, neighbour, sim): up to ``k`` other rows of each, by cosine, equal ones by key."""
@@ -452,7 +541,7 @@ class NeighbourGraph:
         far = bucketed.withColumn("n", F.row_number().over(W.partitionBy("space").orderBy(F.xxhash64("id", F.lit(5))))).where(f"n <= {beam}").select("space", F.col("id").alias("v"))
         open_ = asked.withColumn("bucket", F.shiftright("code", 16)).join(near, "bucket").select("key", "space", "v").union(asked.join(F.broadcast(far), "space").select("key", "space", "v")).distinct()
         vectors, state = self.vectors.select(F.col("id").alias("v"), "q"), None
-        links = self.graph.where("links IS NOT NULL").select(F.col("u").alias("v"), F.transform("links", lambda x: x.v).alias("vs"))
+        links = self._all_links().groupBy("u").agg(F.collect_list("v").alias("vs")).withColumnRenamed("u", "v")
         back = links.select("v", F.explode("vs").alias("u")).withColumn("n", F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("u", "v")))).where(f"n <= {REVERSE}")
         back = back.groupBy("u").agg(F.collect_list("v").alias("back")).withColumnRenamed("u", "v")
         ways_of = materialize(links.join(back, "v", "full").select("v", F.array_union(F.coalesce("vs", F.array()), F.coalesce("back", F.array())).alias("vs")))
@@ -485,7 +574,7 @@ def _chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    graph = NeighbourGraph(_chunk_vectors(spark, sf), "chunk_id", "vector", "space")
+    graph = NeighbourGraph(_chunk_vectors(spark, sf), "chunk_id", "vector", "space", floor=0.85)
     return graph.neighbours(5, 0.85).select(F.col("key").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"))
 
 

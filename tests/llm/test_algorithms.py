@@ -142,6 +142,18 @@ def test_hot_bucket_of_neighbours(spark):
     assert shares[0] < 0.8 and shares[1] >= 0.95, shares
 
 
+def test_pairs_that_no_link_leads_to(spark, monkeypatch):
+    """Vectors that have one neighbour each, far from all others: the cells of one round find most of what the first bucket parts."""
+    monkeypatch.setattr(neighbours, "CELL", 128, raising=False)
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal((1500, 64))
+    two = one + 0.3 * rng.standard_normal(one.shape)
+    rows = [(f"{side}{i:04d}", v.tolist()) for side, m in (("a", one), ("b", two)) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "key string, vector array<double>")
+    got = {(r["key"], r["neighbour"]) for r in neighbours.NeighbourGraph(df, "key", "vector", rounds=1).neighbours(5, 0.85).collect()}
+    assert len(got & {(f"{x}{i:04d}", f"{y}{i:04d}") for i in range(1500) for x, y in ("ab", "ba")}) >= 0.9 * 3000
+
+
 def test_search_in_two_spaces(spark):
     """The same keys in two columns: a search stays in the column of its query."""
     data = vectors(300, 2)
