@@ -29,9 +29,9 @@ PRINTED_WORDS = 2_000_000
 MOST_FIXES = 200_000
 # Marks of a word broken at a line end.
 MARKS = "-‐¬­"
-#: Misreadings are learned from at least so many words, and such a share of the words that only scanned text has, and so many
-#: times as many as born-digital text has; characters on a side.
-LEAST_SUPPORT, LEAST_SHARE, LEAST_RATIO, SPAN = 4, 0.001, 3.0, 2
+#: Misreadings are learned from at least so many words that only scanned text has, and so many times as many as born-digital
+#: text has; characters on a side.
+LEAST_SUPPORT, LEAST_RATIO, SPAN = 4, 3.0, 2
 OPERATIONS = ["keep", "replace", "delete", "insert", "join"]
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
@@ -420,7 +420,9 @@ class Scan:
 
         Words of one side only that differ from a common printed word in one place of at most SPAN characters are aligned
         with it. A misreading is supported by words that only scanned text has, and LEAST_RATIO times as often as by words
-        that only born-digital text has, in proportion to their numbers: endings and the like are as common there.
+        that only born-digital text has, in proportion to their numbers: endings and the like are as common there. A word
+        supports the most common of its misreadings only, so an ending with a misread letter is none. The support that is
+        asked for does not grow with the corpus: the words that have a rare pair of letters don't either.
         """
         plain = self.words.where("length(word) > 3 AND NOT word RLIKE '-'")
         printed = self._printed(5).where("length(word) > 3 AND NOT word RLIKE '[0-9-]'").select("word", (F.col("digital") + F.col("scanned")).alias("total"))
@@ -431,11 +433,13 @@ class Scan:
         # nothing common at either end belongs to the misreading
         pair = left.hint("merge").join(right, "frame")  # a word has many frames: neither side is small
         pair = pair.where("total >= 8 * own AND word <> other").where("piece <> to AND NOT (length(piece) > 0 AND length(to) > 0 AND (left(piece, 1) = left(to, 1) OR right(piece, 1) = right(to, 1)))")
-        count = pair.groupBy("piece", "to").agg(F.count_distinct(F.when(F.col("read"), F.col("word"))).alias("scan"), F.count_distinct(F.when(~F.col("read"), F.col("word"))).alias("digital"))
+        pair = materialize(pair.where("lower(piece) <> lower(to)").select("word", "read", "piece", "to").distinct())
+        count = pair.groupBy("piece", "to").agg(F.count_if("read").alias("scan"), F.count_if(~F.col("read")).alias("digital"))
         sizes = {r["read"]: r["count"] for r in odd.groupBy("read").count().collect()}
         share = max(1, sizes.get(True, 0)) / max(1, sizes.get(False, 0), sizes.get(True, 0))
-        least = max(LEAST_SUPPORT, LEAST_SHARE * sizes.get(True, 0))
-        kept = count.where((F.col("scan") >= least) & (F.col("scan") >= LEAST_RATIO * share * F.col("digital"))).orderBy("piece", "to")
+        likely = materialize(count.where((F.col("scan") >= LEAST_SUPPORT) & (F.col("scan") >= LEAST_RATIO * share * F.col("digital"))).select("piece", "to", "scan"))
+        told = pair.where("read").join(broadcast_if_small(likely), ["piece", "to"]).groupBy("word").agg(F.max_by(F.struct("piece", "to"), F.struct("scan", "piece", "to")).alias("r"))
+        kept = told.groupBy("r.piece", "r.to").count().where(F.col("count") >= LEAST_SUPPORT).orderBy("piece", "to")
         rules: dict[str, list[str]] = {}
         for r in kept.collect():  # pairs of pieces of two characters of an alphabet
             # shapes that are mistaken one way may be mistaken the other way

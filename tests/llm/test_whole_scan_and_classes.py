@@ -34,3 +34,12 @@ def test_wrong_forms_that_born_digital_text_holds_are_judged(spark):
     fixes = {r["word"]: r["fixed"] for r in s.fixes.collect()}
     assert fixes.get("tor") == "for" and "for" not in fixes
     assert ("x", 12, "misread") in {tuple(r) for r in s.defects.collect()}
+
+
+def test_a_rare_misreading_is_learned_in_a_large_corpus(spark):
+    """Ten thousand other words that only scanned text has don't outvote five with vv for w."""
+    printed = ["twice", "lower", "follows", "shown", "nowhere"]
+    rows = [(w, 1000, 0) for w in printed] + [(w.replace("w", "vv"), 0, 10) for w in printed] + [(f"{i:05d}".translate(str.maketrans("0123456789", "zxkjqvwyhg")) * 2, 0, 1) for i in range(10_000)]
+    s = scan.Scan.__new__(scan.Scan)
+    s.words = spark.createDataFrame(rows, "word string, digital long, scanned long")
+    assert "w" in s._misreadings().get("vv", ())
